@@ -86,6 +86,12 @@ def prepare_fills(fills: DataFrame) -> DataFrame:
             .withColumn("fill_day", _day("fill_date")))
 
 
+def with_next_fill_date(prepared: DataFrame) -> DataFrame:
+    """``next_fill_date`` = lead(fill_date) in history order, walked in day blocks (F1)."""
+    return blocked_running(prepared, list(HISTORY_KEY), "fill_day", ["fill_date", "fill_id"],
+                           previous={"next_fill_date": "fill_date"}, reverse=True)
+
+
 def prescription_ndc_from_fills(fills: DataFrame) -> DataFrame:
     """First NDC per prescription by (fill_date, fill_id), for prescriptions without one (F2)."""
     return fills.groupBy("prescription_id").agg(
@@ -321,10 +327,7 @@ def eligibility_accounting(candidates: DataFrame) -> DataFrame:
 def legacy_refill_observations(fills: DataFrame, study_end: object) -> DataFrame:
     """Superseded target: refill 1..14 days after the fill date."""
     study_end_d = dt.date.fromisoformat(str(study_end)[:10])
-    f = prepare_fills(fills)
-    f = f.withColumn("_neg_day", -F.col("fill_day"))
-    nxt = blocked_running(f, list(HISTORY_KEY), "_neg_day", ["fill_date", "fill_id"],
-                          previous={"next_fill_date": "fill_date"}, reverse=True)
+    nxt = with_next_fill_date(prepare_fills(fills))
     last_day = study_end_d - dt.timedelta(days=LEGACY_WINDOW_DAYS)
     days_to_next = F.datediff("next_fill_date", "fill_date")
     return nxt.filter(F.col("fill_date") <= F.lit(last_day)).select(

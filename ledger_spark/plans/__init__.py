@@ -1,6 +1,6 @@
 """Named queries (Spark builder + DuckDB oracle SQL) over the test data set."""
 
-from ledger_spark.plans import ledger_queries  # noqa: F401  (registers queries)
+from ledger_spark.plans import ledger_queries, research_queries  # noqa: F401  (register)
 from ledger_spark.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
