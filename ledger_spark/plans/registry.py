@@ -23,10 +23,20 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+# Both engines round with the same IEEE operations (multiply, add one half,
+# floor, divide), so equal doubles stay equal and 1-ulp differences collapse.
+ROUND_LIMIT = 1e12
+
+
+def _round_col(c, places: int):
+    scale = float(10 ** places)
+    return F.when(F.abs(c) < ROUND_LIMIT, F.floor(c * scale + 0.5) / scale).otherwise(c)
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column so both sides compare on the same precision."""
     return df.select(*[
-        F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, DoubleType)
+        _round_col(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, DoubleType)
         else F.col(f.name) for f in df.schema.fields
     ])
 
@@ -35,7 +45,10 @@ def round_sql(body: str, double_columns: Sequence[str], places: int = 6) -> str:
     """Wrap oracle SQL so the listed double columns are rounded like ``rounded``."""
     if not double_columns:
         return body
-    repl = ", ".join(f"round({c}, {places}) AS {c}" for c in double_columns)
+    scale = f"{float(10 ** places)}::DOUBLE"
+    repl = ", ".join(
+        f"CASE WHEN abs({c}) < {ROUND_LIMIT}::DOUBLE THEN floor(CAST({c} AS DOUBLE) * {scale} + 0.5::DOUBLE)"
+        f" / {scale} ELSE CAST({c} AS DOUBLE) END AS {c}" for c in double_columns)
     return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) AS q"
 
 
