@@ -31,6 +31,7 @@ def blocked_running(
     position: str | None = None,
     sums: Mapping[str, Column] | None = None,
     previous: Mapping[str, str] | None = None,
+    last_before: Mapping[str, str] | None = None,
     reverse: bool = False,
 ) -> DataFrame:
     """Add running aggregates over rows ordered by ``order`` within ``keys``.
@@ -41,7 +42,9 @@ def blocked_running(
     * ``position``: 0-based rank of the row in its group,
     * one column per ``sums`` entry: inclusive running sum of the expression,
     * one column per ``previous`` entry: the named column's value on the
-      previous row of the group (``lag``), null on the first row.
+      previous row of the group (``lag``), null on the first row,
+    * one column per ``last_before`` entry: the last non-null value of the
+      named column on an earlier row of the group (``last ... ignore nulls``).
 
     With ``reverse=True`` the group is walked in descending order, so
     ``previous`` yields the *next* row (``lead``) and ``sums`` are suffix sums.
@@ -50,6 +53,7 @@ def blocked_running(
     """
     sums = dict(sums or {})
     previous = dict(previous or {})
+    last_before = dict(last_before or {})
     order_cols = _cols(order)
     walk = [c.desc() for c in order_cols] if reverse else order_cols
     in_block = Window.partitionBy(*keys, block).orderBy(*walk)
@@ -60,6 +64,8 @@ def blocked_running(
         (F.row_number().over(in_block) - 1).alias("_lpos"),
         *[F.sum(expr).over(running).alias(f"_ls_{name}") for name, expr in sums.items()],
         *[F.lag(src).over(in_block).alias(f"_lp_{name}") for name, src in previous.items()],
+        *[F.last(src, ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, -1))
+          .alias(f"_lq_{name}") for name, src in last_before.items()],
     )
 
     order_struct = F.struct(*order_cols)
@@ -68,6 +74,9 @@ def blocked_running(
         *[F.sum(expr).alias(f"_bs_{name}") for name, expr in sums.items()],
         *[(F.min_by if reverse else F.max_by)(F.col(src), order_struct).alias(f"_bl_{name}")
           for name, src in previous.items()],
+        *[(F.min_by if reverse else F.max_by)(
+            F.col(src), F.when(F.col(src).isNotNull(), order_struct)).alias(f"_bq_{name}")
+          for name, src in last_before.items()],
     )
     by_block = Window.partitionBy(*keys).orderBy(F.col(block).desc() if reverse else F.col(block))
     before = by_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -77,6 +86,8 @@ def blocked_running(
         *[F.coalesce(F.sum(f"_bs_{name}").over(before), F.lit(0)).alias(f"_off_{name}")
           for name in sums],
         *[F.lag(f"_bl_{name}").over(by_block).alias(f"_pb_{name}") for name in previous],
+        *[F.last(f"_bq_{name}", ignorenulls=True).over(before).alias(f"_qb_{name}")
+          for name in last_before],
     )
 
     joined = local.join(offsets, on=[*keys, block], how="inner")
@@ -88,4 +99,6 @@ def blocked_running(
     for name in previous:
         added.append(F.when(F.col("_lpos") == 0, F.col(f"_pb_{name}"))
                      .otherwise(F.col(f"_lp_{name}")).alias(name))
+    for name in last_before:
+        added.append(F.coalesce(F.col(f"_lq_{name}"), F.col(f"_qb_{name}")).alias(name))
     return joined.select(*df.columns, *added)

@@ -1,6 +1,6 @@
 """Named queries (Spark builder + DuckDB oracle SQL) over the test data set."""
 
-from ledger_spark.plans import eval_queries, ledger_queries, research_queries  # noqa: F401
+from ledger_spark.plans import eval_queries, ledger_queries, research_queries, workflow_queries  # noqa: F401
 from ledger_spark.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -164,5 +164,39 @@ observations AS (
 )"""
 
 
+CANDIDATE_FEATURES = """
+, daily AS (SELECT medication_id, fill_date, count(*) AS c, sum(days_supply) AS s,
+                   sum(quantity_billed) AS q FROM fills GROUP BY 1, 2)
+, medh_all AS (
+  SELECT k.fill_id, coalesce(sum(d.c), 0) AS c, coalesce(sum(d.s), 0) AS s, coalesce(sum(d.q), 0) AS q
+  FROM candidates k LEFT JOIN daily d
+    ON d.medication_id = k.medication_id AND d.fill_date < k.observation_date
+  GROUP BY k.fill_id)
+, cand_feats AS (
+  SELECT k.*, m.c - CASE WHEN k.fill_date < k.observation_date THEN 1 ELSE 0 END AS med_n,
+         m.s - CASE WHEN k.fill_date < k.observation_date THEN k.days_supply ELSE 0 END AS med_s,
+         m.q - CASE WHEN k.fill_date < k.observation_date THEN k.quantity_billed ELSE 0 END AS med_q
+  FROM candidates k JOIN medh_all m ON k.fill_id = m.fill_id)
+, requests AS (
+  SELECT prescription_id AS rx_number, fill_date, observation_date,
+         CAST(refills_remaining AS DOUBLE) AS current_refills_remaining,
+         CAST(quantity_billed AS DOUBLE) AS current_quantity_billed,
+         CAST(days_supply AS DOUBLE) AS current_days_supply,
+         CAST(refill_number AS DOUBLE) AS current_refill_number,
+         CAST(k AS DOUBLE) AS previous_fill_count,
+         CAST(ivl AS DOUBLE) AS days_since_previous_fill,
+         CAST(avg_ivl AS DOUBLE) AS average_previous_refill_interval_days,
+         CASE WHEN n_ivl >= 2 THEN CAST(std_ivl AS DOUBLE) END AS std_previous_refill_interval_days,
+         CAST(gap AS DOUBLE) AS latest_refill_timing_gap_days,
+         CAST(avg_gap AS DOUBLE) AS average_previous_timing_gap_days,
+         CAST(early_rate AS DOUBLE) AS previous_early_fill_rate,
+         CAST(ontime_rate AS DOUBLE) AS previous_on_time_fill_rate,
+         CAST(datediff('day', cur_rx_date, observation_date) AS DOUBLE) AS prescription_age_days,
+         CAST(med_n AS DOUBLE) AS medication_prior_fill_count,
+         CASE WHEN med_n > 0 THEN CAST(med_s AS DOUBLE) / med_n END AS medication_prior_average_days_supply,
+         CASE WHEN med_n > 0 THEN CAST(med_q AS DOUBLE) / med_n END AS medication_prior_average_quantity
+  FROM cand_feats)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts)
