@@ -83,6 +83,42 @@ prescriptions AS (
 )"""
 
 
+BILLING_EXPORT = f"""
+billing_export AS (
+  SELECT {LINE_KEY} AS row_id,
+         CASE WHEN li.l_orderkey % 101 = 0 THEN '  ' ELSE {LINE_KEY} END AS billing_id,
+         CASE WHEN li.l_orderkey % 103 = 1 THEN NULL ELSE 'PT-' || CAST(o.o_custkey AS VARCHAR) END AS patient_id,
+         CASE WHEN li.l_linenumber = 3 THEN '  ' || c.c_name || ' ' ELSE c.c_name END AS patient_name,
+         CAST(NULL AS VARCHAR) AS date_of_birth,
+         'RX-' || CAST(li.l_orderkey AS VARCHAR) AS prescription_id,
+         CASE WHEN li.l_linenumber = 2 THEN ' ' || lpad(CAST(li.l_partkey AS VARCHAR), 11, '0') || ' '
+              ELSE lpad(CAST(li.l_partkey AS VARCHAR), 11, '0') END AS ndc,
+         p.p_name AS drug_name,
+         CASE WHEN li.l_partkey % 97 = 0 THEN 'not-a-date'
+              ELSE CASE li.l_orderkey % 6
+                     WHEN 0 THEN strftime(li.l_shipdate, '%Y-%m-%d')
+                     WHEN 1 THEN strftime(li.l_shipdate, '%-m/%-d/%Y')
+                     WHEN 2 THEN strftime(li.l_shipdate, '%Y%m%d')
+                     WHEN 3 THEN strftime(li.l_shipdate, '%-d %b %Y')
+                     WHEN 4 THEN strftime(li.l_shipdate, '%Y/%m/%d')
+                     ELSE strftime(li.l_shipdate, '%b %-d, %Y') END END AS billing_date,
+         CASE WHEN s.s_acctbal < 0 THEN NULL ELSE s.s_name END AS insurance_name,
+         CASE WHEN s.s_acctbal < 0 THEN NULL ELSE lpad(CAST(s.s_nationkey AS VARCHAR), 6, '0') END AS bin_number,
+         CASE WHEN li.l_suppkey % 53 = 0 THEN 'n.a.'
+              WHEN li.l_partkey % 89 = 0 THEN '-' || regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '')
+              ELSE regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '') END AS quantity_billed,
+         CASE WHEN li.l_orderkey % 107 = 2 THEN CAST(li.l_linenumber * 10 AS VARCHAR) || '.5'
+              ELSE CAST(li.l_linenumber * 10 AS VARCHAR) END AS days_supply,
+         CAST(NULL AS VARCHAR) AS refills_remaining
+  FROM lineitem li
+  LEFT JOIN orders o ON li.l_orderkey = o.o_orderkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN part p ON li.l_partkey = p.p_partkey
+  LEFT JOIN supplier s ON li.l_suppkey = s.s_suppkey
+  WHERE li.l_linestatus = 'F'
+)"""
+
+
 def candidates_sql(study_end: str, lead: int, after: int) -> str:
     """All fills with dates, flags and history features (brute force)."""
     return f"""

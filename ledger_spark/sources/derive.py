@@ -221,3 +221,55 @@ def workflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_pred, F.lit(DAYS_LEFT_BASE) - F.pmod(F.col("event_id"), F.lit(DAYS_LEFT_CYCLE)))
         .cast("int").alias("days_until_supply_end"),
     )
+
+
+# Fixed values of the export rendering: date styles and the key moduli that
+# plant each kind of defect.  Every row is kept; only its text changes.
+EXPORT_DATE_STYLES = ("yyyy-MM-dd", "M/d/yyyy", "yyyyMMdd", "d MMM yyyy", "yyyy/MM/dd", "MMM d, yyyy")
+BLANK_ID_EVERY = 101       # billing_id blank
+NULL_PATIENT_EVERY = 103   # patient_id missing
+BAD_DATE_EVERY = 97        # billing_date unparseable (by part key)
+BAD_NUMBER_EVERY = 53      # quantity not a number (by supplier key)
+NEGATIVE_EVERY = 89        # negative quantity (by part key)
+FRACTION_EVERY = 107       # fractional days supply
+
+
+def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Billing as a raw string export: mixed date styles, padding and planted defects.
+
+    Used to exercise validation (C) at scale; ``row_id`` is the line key.
+    """
+    li = _lineitem_with(spark, sf_dir, {"patient_id", "patient_name", "drug_name", "insurance_name"},
+                        "F", "p_name")
+    insurance_name, bin_number = _insurer(li)
+    key = _record_key()
+    ok, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    ship = F.to_date("l_shipdate")
+    style = F.pmod(ok, F.lit(len(EXPORT_DATE_STYLES)))
+    date_text = None
+    for i, fmt in enumerate(EXPORT_DATE_STYLES):
+        date_text = (F.when(style == i, F.date_format(ship, fmt)) if date_text is None
+                     else date_text.when(style == i, F.date_format(ship, fmt)))
+    qty = F.regexp_replace(F.col("l_quantity").cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
+    return li.select(
+        key.alias("row_id"),
+        F.when(F.pmod(ok, F.lit(BLANK_ID_EVERY)) == 0, F.lit("  ")).otherwise(key).alias("billing_id"),
+        F.when(F.pmod(ok, F.lit(NULL_PATIENT_EVERY)) == 1, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("PT-"), F.col("o_custkey").cast("string"))).alias("patient_id"),
+        F.when(ln == 3, F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).otherwise(F.col("c_name"))
+        .alias("patient_name"),
+        F.lit(None).cast("string").alias("date_of_birth"),
+        F.concat(F.lit("RX-"), ok.cast("string")).alias("prescription_id"),
+        F.when(ln == 2, F.concat(F.lit(" "), F.lpad(pk.cast("string"), 11, "0"), F.lit(" ")))
+        .otherwise(F.lpad(pk.cast("string"), 11, "0")).alias("ndc"),
+        F.col("_part_value").alias("drug_name"),
+        F.when(F.pmod(pk, F.lit(BAD_DATE_EVERY)) == 0, F.lit("not-a-date")).otherwise(date_text)
+        .alias("billing_date"),
+        insurance_name, bin_number,
+        F.when(F.pmod(sk, F.lit(BAD_NUMBER_EVERY)) == 0, F.lit("n.a."))
+        .when(F.pmod(pk, F.lit(NEGATIVE_EVERY)) == 0, F.concat(F.lit("-"), qty))
+        .otherwise(qty).alias("quantity_billed"),
+        F.when(F.pmod(ok, F.lit(FRACTION_EVERY)) == 2, F.concat((ln * 10).cast("string"), F.lit(".5")))
+        .otherwise((ln * 10).cast("string")).alias("days_supply"),
+        F.lit(None).cast("string").alias("refills_remaining"),
+    )
