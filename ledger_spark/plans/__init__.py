@@ -1,7 +1,8 @@
 """Named queries (Spark builder + DuckDB oracle SQL) over the test data set."""
 
 from ledger_spark.plans import (  # noqa: F401  (each module registers its queries)
-    eval_queries, ingest_queries, ledger_queries, research_queries, workflow_queries,
+    eval_queries, header_queries, ingest_queries, ledger_queries, research_queries,
+    workflow_queries,
 )
 from ledger_spark.plans.registry import REGISTRY
 

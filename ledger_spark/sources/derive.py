@@ -273,3 +273,57 @@ def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((ln * 10).cast("string")).alias("days_supply"),
         F.lit(None).cast("string").alias("refills_remaining"),
     )
+
+
+def _title(name: str) -> str:
+    return " ".join(w.capitalize() for w in name.split("_"))
+
+
+# Header styles of supplier billing exports, built by rule from the canonical
+# names: canonical, title case, first aliases plus an unmapped column, upper
+# case with dashes, two quantity aliases (ambiguous), no quantity column
+# (required field missing), and a duplicated patient id header.
+def export_header_styles() -> list[list[str]]:
+    from ledger_spark.operators.headers import BILLING_ALIASES
+    names = [f for f in BILLING_ALIASES]
+    first_alias = [BILLING_ALIASES[f][0] for f in names]
+    return [
+        names,
+        [_title(n) for n in names],
+        first_alias + ["Store Number"],
+        [n.upper().replace("_", "-") for n in names],
+        [a for a in first_alias if a != "qty_billed"] + ["Qty Dispensed", "Billed Qty"],
+        [n for n in names if n != "quantity_billed"],
+        names + ["Patient ID"],
+    ]
+
+
+AMBIGUOUS_STYLE = 4
+MANUAL_OVERRIDE = ("Qty Dispensed", "quantity_billed")
+
+
+def export_file(suppkey: Column) -> Column:
+    return F.concat(F.lit("billing_supplier_"), suppkey.cast("string"), F.lit(".csv"))
+
+
+def export_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, dataset_type, position, header): one billing export per supplier."""
+    styles = export_header_styles()
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey")
+    style = F.pmod(F.col("s_suppkey"), F.lit(len(styles)))
+    arr = None
+    for i, hs in enumerate(styles):
+        lit = F.array(*[F.lit(h) for h in hs])
+        arr = F.when(style == i, lit) if arr is None else arr.when(style == i, lit)
+    return sup.select(export_file(F.col("s_suppkey")).alias("source_file"),
+                      F.lit("billing").alias("dataset_type"),
+                      F.posexplode(arr).alias("position", "header"))
+
+
+def export_manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewer's override for every ambiguous-style export: which quantity column to use."""
+    styles = export_header_styles()
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return sup.filter(F.pmod(F.col("s_suppkey"), F.lit(len(styles))) == AMBIGUOUS_STYLE).select(
+        export_file(F.col("s_suppkey")).alias("source_file"),
+        F.lit(MANUAL_OVERRIDE[0]).alias("source"), F.lit(MANUAL_OVERRIDE[1]).alias("destination"))
