@@ -255,3 +255,10 @@ SELECT * FROM (
 def n_constraint_issues(spark, sf_dir):
     """Enum, range and foreign-key checks on the workflow tables."""
     return cs.constraint_issues(workflow(spark, sf_dir))
+
+
+@register("n_stream_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"])
+def n_stream_cases(spark, sf_dir):
+    """The case fold as a Structured Streaming job (available-now), latest state per case."""
+    from ledger_spark.streaming.case_stream import run_case_stream
+    return run_case_stream(spark, sf_dir)

@@ -200,13 +200,18 @@ DAYS_LEFT_CYCLE = 18
 
 
 def workflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Follow-up workflow events from ``events``.
+    """Follow-up workflow events from ``events`` (see ``workflow_events_from``).
 
     ``purchase`` resolves the open case of the prescription, ``signup`` logs an
     activity, every other type is a model prediction with probability
     ``value / (value + 50)`` and ``10 - event_id mod 18`` days of supply left.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return workflow_events_from(table(spark, sf_dir, "events"))
+
+
+def workflow_events_from(events: DataFrame) -> DataFrame:
+    """The event mapping as a projection, usable on a batch or a streaming frame."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     kind = (F.when(F.col("event_type") == "purchase", "resolve")
             .when(F.col("event_type") == "signup", "activity")
             .otherwise("predict"))
