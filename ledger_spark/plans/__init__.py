@@ -4,6 +4,7 @@ from ledger_spark.plans import (  # noqa: F401  (each module registers its queri
     eval_queries, header_queries, ingest_queries, ledger_queries, research_queries,
     workflow_queries,
 )
+from ledger_spark.plans import model_queries  # noqa: F401,E402  (rows-only model queries)
 from ledger_spark.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
