@@ -105,8 +105,8 @@ billing_export AS (
          CASE WHEN s.s_acctbal < 0 THEN NULL ELSE s.s_name END AS insurance_name,
          CASE WHEN s.s_acctbal < 0 THEN NULL ELSE lpad(CAST(s.s_nationkey AS VARCHAR), 6, '0') END AS bin_number,
          CASE WHEN li.l_suppkey % 53 = 0 THEN 'n.a.'
-              WHEN li.l_partkey % 89 = 0 THEN '-' || regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '')
-              ELSE regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '') END AS quantity_billed,
+              WHEN li.l_partkey % 89 = 0 THEN '-' || regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '[.]?0+$', '')
+              ELSE regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '[.]?0+$', '') END AS quantity_billed,
          CASE WHEN li.l_orderkey % 107 = 2 THEN CAST(li.l_linenumber * 10 AS VARCHAR) || '.5'
               ELSE CAST(li.l_linenumber * 10 AS VARCHAR) END AS days_supply,
          CAST(NULL AS VARCHAR) AS refills_remaining

@@ -255,7 +255,7 @@ def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, fmt in enumerate(EXPORT_DATE_STYLES):
         date_text = (F.when(style == i, F.date_format(ship, fmt)) if date_text is None
                      else date_text.when(style == i, F.date_format(ship, fmt)))
-    qty = F.regexp_replace(F.col("l_quantity").cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
+    qty = F.regexp_replace(F.col("l_quantity").cast("decimal(18,2)").cast("string"), r"[.]?0+$", "")
     return li.select(
         key.alias("row_id"),
         F.when(F.pmod(ok, F.lit(BLANK_ID_EVERY)) == 0, F.lit("  ")).otherwise(key).alias("billing_id"),
