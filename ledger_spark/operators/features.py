@@ -245,10 +245,13 @@ def supply_end_candidates(fills: DataFrame, prescriptions: DataFrame, study_end:
     if "ndc" not in rx.columns:
         rx = rx.join(prescription_ndc_from_fills(f), "prescription_id", "left")
 
-    feats = history_features(f)
     rx_dates = rx.select("prescription_id", _day("prescription_date").alias("cur_rx_day"))
+    # look-up keys come from the fills themselves, not from the feature frame,
+    # so the history windows are not evaluated a second time for them
+    asks = f.select("prescription_id", "patient_id", "ndc").join(rx_dates, "prescription_id", "inner")
+    nxt = next_prescription_day(asks, rx)
+    feats = history_features(f)
     feats = feats.join(rx_dates, "prescription_id", "inner")    # F12: unknown Rx has no row
-    nxt = next_prescription_day(feats, rx)
     feats = feats.join(nxt, ["patient_id", "ndc", "cur_rx_day"], "left")
 
     end_day = F.col("fill_day") + F.col("days_supply")

@@ -170,14 +170,19 @@ def evaluation_summary(df: DataFrame, keys: Sequence[str], threshold: float = LO
     """The locked-evaluation metric row per group."""
     df, keys, dropk = _keyed(df, keys)
     y = F.col(label) == 1
-    base = df.groupBy(*keys).agg(
+    pred = F.col(score) >= F.lit(threshold)
+    counts = df.groupBy(*keys).agg(                     # base counts and confusion in one pass
         F.count(F.lit(1)).alias("observations"),
         F.countDistinct(patient_col).alias("unique_patients"),
         F.count_if(y).alias("positives"),
+        F.count_if(~pred & ~y).alias("true_negatives"),
+        F.count_if(pred & ~y).alias("false_positives"),
+        F.count_if(~pred & y).alias("false_negatives"),
+        F.count_if(pred & y).alias("true_positives"),
     )
-    conf = confusion(df, keys, threshold, label, score)
-    rank = ranking_metrics(df, keys, label, score)
-    j = base.join(conf, keys).join(rank, keys)
+    counts = counts.select("*", *classification_columns(
+        F.col("true_positives"), F.col("false_positives"), F.col("true_negatives"), F.col("false_negatives")))
+    j = counts.join(ranking_metrics(df, keys, label, score), keys)
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     out = j.select(
         *keys, "observations", "unique_patients", "positives",

@@ -14,7 +14,7 @@ from ledger_spark.operators.propensity import renewal_propensity, propensity_sql
 from ledger_spark.plans.oracle import FILLS, with_
 from ledger_spark.plans.registry import register
 from ledger_spark.plans.research_queries import (
-    LABEL_AFTER_DAYS, MODEL_AFTER_DAYS, candidates, observations, observations_sql,
+    LABEL_AFTER_DAYS, MODEL_AFTER_DAYS, candidates, fills, observations, observations_sql,
 )
 from ledger_spark.sources import derive
 
@@ -88,7 +88,7 @@ SELECT min(n) AS minimum, CAST(median(n) AS DOUBLE) AS median, avg(n) AS mean, m
           ["median", "mean"])
 def g_fills_per_patient(spark, sf_dir):
     """Fills per patient: minimum, median, mean, maximum."""
-    return ig.fills_per_patient(derive.fills(spark, sf_dir))
+    return ig.fills_per_patient(fills(spark, sf_dir))
 
 
 @register("g_violations", with_(FILLS) + """
@@ -101,7 +101,7 @@ SELECT (SELECT count(*) FROM fills f LEFT JOIN prescriptions r USING (prescripti
          AS duplicate_prescription_ids""")
 def g_violations(spark, sf_dir):
     """Chronology and refill-accounting violations, duplicate prescriptions."""
-    f = derive.fills(spark, sf_dir)
+    f = fills(spark, sf_dir)
     return ig.violations(f, derive.prescriptions(f))
 
 
@@ -125,7 +125,7 @@ SELECT count(*) AS patient_medication_history_count,
 FROM per""")
 def g_history_counts(spark, sf_dir):
     """History counts by (patient, medication)."""
-    return ig.history_counts(derive.fills(spark, sf_dir))
+    return ig.history_counts(fills(spark, sf_dir))
 
 
 @register("g_days_supply_counts", with_(FILLS) + """
@@ -133,7 +133,7 @@ SELECT days_supply, count(*) AS count FROM fills WHERE days_supply IS NOT NULL
 GROUP BY days_supply ORDER BY days_supply""")
 def g_days_supply_counts(spark, sf_dir):
     """Sorted value counts of days supply."""
-    return ig.value_counts(derive.fills(spark, sf_dir), "days_supply")
+    return ig.value_counts(fills(spark, sf_dir), "days_supply")
 
 
 @register("g_missing_features", observations_sql(LABEL_AFTER_DAYS, "SELECT * FROM (" + " UNION ALL ".join(
@@ -360,14 +360,14 @@ EVAL_DOUBLES = ("positive_rate", *J2_COLS, "pr_auc", "roc_auc", "flagged_percent
 
 
 def _groups_spark(spark, sf_dir):
+    """Validation rows, and test rows both overall and as seen / unseen patients (one pass)."""
     s = scored(spark, sf_dir)
-    train_patients = s.filter(F.col("split") == "train").select("patient_id").distinct()
-    test = s.filter(F.col("split") == "test")
-    seen = test.join(train_patients, "patient_id", "left_semi").withColumn("evaluation_group", F.lit("seen_patients"))
-    unseen = test.join(train_patients, "patient_id", "left_anti").withColumn("evaluation_group", F.lit("unseen_patients"))
-    overall = test.withColumn("evaluation_group", F.lit("overall"))
-    val = s.filter(F.col("split") == "validation").withColumn("evaluation_group", F.lit("validation"))
-    return overall.unionByName(seen).unionByName(unseen).unionByName(val)
+    train_patients = s.filter(F.col("split") == "train").select("patient_id").distinct() \
+        .withColumn("_seen", F.lit(True))
+    ev = s.filter(F.col("split").isin("validation", "test")).join(train_patients, "patient_id", "left")
+    groups = F.when(F.col("split") == "validation", F.array(F.lit("validation"))).otherwise(
+        F.array(F.lit("overall"), F.when(F.col("_seen"), "seen_patients").otherwise("unseen_patients")))
+    return ev.withColumn("evaluation_group", F.explode(groups)).drop("_seen")
 
 
 _GROUPS_SQL = """

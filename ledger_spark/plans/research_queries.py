@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledger_spark.operators import features as fe
 from ledger_spark.plans.oracle import FILLS, candidates_sql, with_
 from ledger_spark.plans.registry import register
+from ledger_spark.session import materialized
 from ledger_spark.sources import derive
 
 # Study parameters for the test data (fixed): the data ends in late 2001.
@@ -16,11 +17,18 @@ MODEL_AFTER_DAYS = 180    # wider window used for model and metric queries
 OBS_DOUBLES = fe.FEATURE_COLUMNS
 
 
+def fills(spark, sf_dir):
+    """The fill history, written once per session and shared by every consumer."""
+    return materialized(spark, ("fills", sf_dir), lambda: derive.fills(spark, sf_dir))
+
+
 def candidates(spark, sf_dir, after_days: int = LABEL_AFTER_DAYS):
-    f = derive.fills(spark, sf_dir)
-    rx = derive.prescriptions(f)
-    cfg = fe.SupplyEndConfig(outreach_lead_days=LEAD_DAYS, window_after_days=after_days)
-    return fe.supply_end_candidates(f, rx, STUDY_END, cfg)
+    """Every fill with flags, label and features; written once per (data set, window)."""
+    def build():
+        f = fills(spark, sf_dir)
+        cfg = fe.SupplyEndConfig(outreach_lead_days=LEAD_DAYS, window_after_days=after_days)
+        return fe.supply_end_candidates(f, derive.prescriptions(f), STUDY_END, cfg)
+    return materialized(spark, ("candidates", sf_dir, after_days), build)
 
 
 def observations(spark, sf_dir, after_days: int = MODEL_AFTER_DAYS):
@@ -39,7 +47,7 @@ SELECT fill_id, fill_date, patient_id, medication_id, prescription_id, refill_nu
 FROM fills""")
 def f_prepared_fills(spark, sf_dir):
     """Fill history in (patient, medication) order with prescription and next fill (F1, F2)."""
-    nxt = fe.with_next_fill_date(fe.prepare_fills(derive.fills(spark, sf_dir)))
+    nxt = fe.with_next_fill_date(fe.prepare_fills(fills(spark, sf_dir)))
     return nxt.select("fill_id", "fill_date", "patient_id", "medication_id", "prescription_id",
                       "refill_number", "refills_remaining", "days_supply", "next_fill_date")
 
@@ -93,4 +101,4 @@ SELECT fill_id AS observation_id, fill_date AS observation_date,
 FROM nx WHERE fill_date <= DATE '{STUDY_END}' - INTERVAL 14 DAY""")
 def f_legacy_target(spark, sf_dir):
     """Superseded fill-date target: next fill within 1..14 days."""
-    return fe.legacy_refill_observations(derive.fills(spark, sf_dir), STUDY_END)
+    return fe.legacy_refill_observations(fills(spark, sf_dir), STUDY_END)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +78,24 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite",
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+_MATERIALIZED: dict[tuple, DataFrame] = {}
+
+
+def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write a shared derived table once per session (Parquet in the checkpoint folder).
+
+    Derived tables with many consumers (the fill history, the observation
+    candidates) are written once and read back, so each consumer scans a
+    column-pruned Parquet table instead of replaying the derivation; the
+    written copy also survives executor loss.  Set ``LEDGER_MATERIALIZE=0``
+    to run every query from the raw tables.
+    """
+    if os.environ.get("LEDGER_MATERIALIZE", "1") == "0":
+        return build()
+    full_key = (spark.sparkContext.applicationId, *key)
+    if full_key not in _MATERIALIZED:
+        name = "-".join(str(k).strip("/").replace("/", "_") for k in key)
+        _MATERIALIZED[full_key] = write_table(build(), name)
+    return _MATERIALIZED[full_key]
