@@ -32,6 +32,7 @@ def blocked_running(
     sums: Mapping[str, Column] | None = None,
     previous: Mapping[str, str] | None = None,
     last_before: Mapping[str, str] | None = None,
+    total: str | None = None,
     reverse: bool = False,
 ) -> DataFrame:
     """Add running aggregates over rows ordered by ``order`` within ``keys``.
@@ -44,7 +45,8 @@ def blocked_running(
     * one column per ``previous`` entry: the named column's value on the
       previous row of the group (``lag``), null on the first row,
     * one column per ``last_before`` entry: the last non-null value of the
-      named column on an earlier row of the group (``last ... ignore nulls``).
+      named column on an earlier row of the group (``last ... ignore nulls``),
+    * ``total``: the number of rows in the group (from the block table).
 
     With ``reverse=True`` the group is walked in descending order, so
     ``previous`` yields the *next* row (``lead``) and ``sums`` are suffix sums.
@@ -88,12 +90,15 @@ def blocked_running(
         *[F.lag(f"_bl_{name}").over(by_block).alias(f"_pb_{name}") for name in previous],
         *[F.last(f"_bq_{name}", ignorenulls=True).over(before).alias(f"_qb_{name}")
           for name in last_before],
+        *([F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total")] if total else []),
     )
 
     joined = local.join(offsets, on=[*keys, block], how="inner")
     added = []
     if position:
         added.append((F.col("_off_n") + F.col("_lpos")).alias(position))
+    if total:
+        added.append(F.col("_total").alias(total))
     for name in sums:
         added.append((F.col(f"_off_{name}") + F.col(f"_ls_{name}")).alias(name))
     for name in previous:
