@@ -60,7 +60,7 @@ def aggregate_ordering(ordering: DataFrame) -> DataFrame:
     return ordering.groupBy(*MEDICATION_KEY).agg(F.sum(_qty("quantity_ordered")).alias("total_ordered"))
 
 
-def merge_sides(billing: DataFrame, ordering: DataFrame) -> DataFrame:
+def merge_sides(billing: DataFrame, ordering: DataFrame, key: tuple[str, ...] = MEDICATION_KEY) -> DataFrame:
     """Billed and ordered totals per medication, missing side = 0.
 
     Written as a tagged union and one aggregation instead of two aggregations
@@ -69,9 +69,9 @@ def merge_sides(billing: DataFrame, ordering: DataFrame) -> DataFrame:
     pairing also keeps several insurers from multiplying ordered quantity.
     """
     zero = F.lit(0).cast(QUANTITY_DECIMAL)
-    billed = billing.select(*MEDICATION_KEY, _qty("quantity_billed").alias("b"), zero.alias("o"))
-    ordered = ordering.select(*MEDICATION_KEY, zero.alias("b"), _qty("quantity_ordered").alias("o"))
-    return billed.unionByName(ordered).groupBy(*MEDICATION_KEY).agg(
+    billed = billing.select(*key, _qty("quantity_billed").alias("b"), zero.alias("o"))
+    ordered = ordering.select(*key, zero.alias("b"), _qty("quantity_ordered").alias("o"))
+    return billed.unionByName(ordered).groupBy(*key).agg(
         F.sum("b").alias("total_billed"), F.sum("o").alias("total_ordered"))
 
 
@@ -100,16 +100,27 @@ class Reconciliation:
 
 
 def reconcile_inventory(billing: DataFrame, ordering: DataFrame, start: object, end: object,
-                        sort: bool = True) -> Reconciliation:
+                        sort: bool = True, names: DataFrame | None = None) -> Reconciliation:
     """Inventory for the inclusive window plus the in-period inputs and coverage.
 
     ``billing`` / ``ordering`` are canonical, typed frames (see ``operators.validate``
     for the gate that string exports pass first).  Everything stays lazy.
+
+    With a product master ``names`` (one ``drug_name`` per ``ndc``) the inputs
+    need only ``ndc``: quantities are aggregated per code first and the names
+    are attached to the aggregated rows, so no per-row name lookup is shuffled.
+    Without it, grouping is on (ndc, drug_name) as given in the exports.
     """
     start_d, end_d = check_period(start, end)
     billing_p = billing.filter(in_period("billing_date", start_d, end_d))
     ordering_p = ordering.filter(in_period("ordered_date", start_d, end_d))
-    inventory = inventory_status(merge_sides(billing_p, ordering_p))
+    if names is None:
+        totals = merge_sides(billing_p, ordering_p)
+    else:
+        by_code = merge_sides(billing_p.select("ndc", "quantity_billed"),
+                              ordering_p.select("ndc", "quantity_ordered"), ("ndc",))
+        totals = by_code.join(names.select("ndc", "drug_name"), "ndc", "left")
+    inventory = inventory_status(totals)
     if sort:
         inventory = inventory.orderBy(*MEDICATION_KEY)  # D7 presentation order
     return Reconciliation(start_d, end_d, inventory, billing_p, ordering_p,

@@ -23,9 +23,10 @@ QTY = ("total_billed", "total_ordered", "net_difference", "short_quantity", "ext
 
 
 def _reconcile(spark, sf_dir, start, end, billing_cols=INVENTORY_COLS):
-    b = derive.billing(spark, sf_dir, billing_cols)
-    o = derive.ordering(spark, sf_dir, ORDER_COLS)
-    return rc.reconcile_inventory(b, o, start, end)
+    """Names come from the product master after aggregation (the oracle joins per row)."""
+    b = derive.billing(spark, sf_dir, [c for c in billing_cols if c != "drug_name"])
+    o = derive.ordering(spark, sf_dir, [c for c in ORDER_COLS if c != "drug_name"])
+    return rc.reconcile_inventory(b, o, start, end, names=derive.medication_names(spark, sf_dir))
 
 
 def _inventory_sql(start: dt.date, end: dt.date) -> str:
@@ -171,8 +172,8 @@ def e_pick_list(spark, sf_dir):
 SELECT count(*) AS medications, count(*) FILTER (WHERE false) AS mismatched_medications FROM ins"""))
 def e_conservation(spark, sf_dir):
     """Insurance totals equal inventory billed totals per medication."""
-    rec = _reconcile(spark, sf_dir, YEAR_START, YEAR_END,
-                     ["ndc", "drug_name", "insurance_name", "bin_number", "quantity_billed",
-                      "patient_id", "billing_date"])
-    ins = an.insurance_billing_summary(rec.billing_in_period, sort=False)
+    rec = _reconcile(spark, sf_dir, YEAR_START, YEAR_END)
+    b = _billing_year(spark, sf_dir, ["ndc", "drug_name", "insurance_name", "bin_number",
+                                       "quantity_billed", "patient_id", "billing_date"])
+    ins = an.insurance_billing_summary(b, sort=False)
     return an.conservation_check(ins, rec.inventory)

@@ -127,6 +127,12 @@ def billing(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = No
     return li.select(*[exprs[c].alias(c) for c in cols])
 
 
+def medication_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product master: one drug name per NDC (the part table)."""
+    return table(spark, sf_dir, "part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 11, "0").alias("ndc"), F.col("p_name").alias("drug_name"))
+
+
 def ordering(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     """Canonical ordering export (5 typed columns) from open line items."""
     cols = _select(columns, ORDERING_COLUMNS)
