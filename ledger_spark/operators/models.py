@@ -123,11 +123,22 @@ def _classifier(spec: ModelSpec, n_train: int):
                          minInstancesPerNode=int(p.get("min_child_samples", 1)))
 
 
+ROWS_PER_TRAIN_PARTITION = 200_000
+
+
 def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> PipelineModel:
-    """Fit preprocessing + classifier on training rows with a ``label`` column."""
+    """Fit preprocessing + classifier on training rows with a ``label`` column.
+
+    Iterative solvers run one Spark job per pass; the training rows are held
+    in about one partition per 200k rows (never more than the input has), so
+    small fits are not dominated by task scheduling and large ones spread out.
+    """
+    n = train.count()
+    wanted = max(1, -(-n // ROWS_PER_TRAIN_PARTITION))
+    if train.rdd.getNumPartitions() > wanted:
+        train = train.coalesce(wanted)
     pre = _preprocess_stage(train, spec.family == "logistic_regression", features)
     asm = VectorAssembler(inputCols=[_in(c) for c in features], outputCol="features")
-    n = train.count()
     return Pipeline(stages=[pre, asm, _classifier(spec, n)]).fit(train)
 
 
