@@ -232,14 +232,13 @@ def medication_history_calendar(fills: DataFrame) -> DataFrame:
     )
 
 
-def supply_end_candidates(fills: DataFrame, prescriptions: DataFrame, study_end: object,
-                          config: SupplyEndConfig | None = None) -> DataFrame:
-    """Every fill with supply dates, eligibility flags, label and features.
+def candidate_features(fills: DataFrame, prescriptions: DataFrame, lead_days: int = 10) -> DataFrame:
+    """Every fill with supply dates, history and medication features and the next renewal day.
 
-    Eligibility is applied *after* the windows: ineligible fills are history too.
+    Independent of the label window: ``with_label`` adds the window-specific
+    columns, so several windows share one feature computation.  Eligibility is
+    applied *after* the windows: ineligible fills are history too.
     """
-    cfg = config or SupplyEndConfig()
-    study_end_d = dt.date.fromisoformat(str(study_end)[:10])
     f = prepare_fills(fills)
     rx = prescriptions.withColumn("prescription_date", F.to_date("prescription_date"))
     if "ndc" not in rx.columns:
@@ -255,12 +254,8 @@ def supply_end_candidates(fills: DataFrame, prescriptions: DataFrame, study_end:
     feats = feats.join(nxt, ["patient_id", "ndc", "cur_rx_day"], "left")
 
     end_day = F.col("fill_day") + F.col("days_supply")
-    obs_day = end_day - cfg.outreach_lead_days
-    window_end = end_day + cfg.window_after_days
-    feats = feats.select(
-        "*",
-        end_day.alias("_end_day"), obs_day.alias("_obs_day"), window_end.alias("_window_end"),
-    )
+    obs_day = end_day - lead_days
+    feats = feats.select("*", end_day.alias("_end_day"), obs_day.alias("_obs_day"))
     cal = medication_history_calendar(f)
     feats = feats.join(
         cal, (feats["medication_id"] == cal["medication_id"])
@@ -269,10 +264,7 @@ def supply_end_candidates(fills: DataFrame, prescriptions: DataFrame, study_end:
     med_n = F.coalesce("cum_fills", F.lit(0)) - _flag(self_before)
     med_s = F.coalesce("cum_days_supply", F.lit(0)) - F.when(self_before, F.col("days_supply")).otherwise(0)
     med_q = F.coalesce("cum_quantity", F.lit(0.0)) - F.when(self_before, F.col("quantity_billed")).otherwise(0.0)
-
-    study_end_day = (study_end_d - dt.date(1970, 1, 1)).days
     already = F.coalesce(F.col("next_rx_day") <= F.col("_obs_day"), F.lit(False))
-    target = F.coalesce(F.col("next_rx_day") <= F.col("_window_end"), F.lit(False))
     return feats.select(
         F.col("fill_id").alias("observation_id"),
         F.date_from_unix_date("_obs_day").alias("observation_date"),
@@ -291,16 +283,35 @@ def supply_end_candidates(fills: DataFrame, prescriptions: DataFrame, study_end:
         med_n.cast("double").alias("medication_prior_fill_count"),
         F.when(med_n > 0, med_s / med_n).alias("medication_prior_average_days_supply"),
         F.when(med_n > 0, med_q / med_n).alias("medication_prior_average_quantity"),
-        target.cast("int").alias(TARGET_COLUMN),
-        F.date_from_unix_date("_window_end").alias("target_window_end"),
         F.date_from_unix_date("next_rx_day").alias("renewal_date"),
         (F.col("refills_remaining") == 0).alias("zero_refill"),
         (F.col("_obs_day") < F.col("fill_day")).alias("lead_time_ineligible"),
-        (F.col("_window_end") > F.lit(study_end_day)).alias("censored"),
         already.alias("renewal_already_received"),
     )
 
 
+def with_label(features: DataFrame, study_end: object, window_after_days: int = 7) -> DataFrame:
+    """Target window, renewal label and censoring for one window length."""
+    study_end_d = dt.date.fromisoformat(str(study_end)[:10])
+    window_end = F.date_add("expected_supply_end_date", window_after_days)
+    target = F.coalesce(F.col("renewal_date") <= window_end, F.lit(False))
+    cols = [c for c in features.columns if c not in ("zero_refill", "lead_time_ineligible",
+                                                     "renewal_already_received", "renewal_date")]
+    return features.select(
+        *cols, target.cast("int").alias(TARGET_COLUMN), window_end.alias("target_window_end"),
+        "renewal_date", "zero_refill", "lead_time_ineligible",
+        (window_end > F.lit(study_end_d)).alias("censored"), "renewal_already_received",
+    )
+
+
+def supply_end_candidates(fills: DataFrame, prescriptions: DataFrame, study_end: object,
+                          config: SupplyEndConfig | None = None) -> DataFrame:
+    """Every fill with supply dates, eligibility flags, label and features."""
+    cfg = config or SupplyEndConfig()
+    return with_label(candidate_features(fills, prescriptions, cfg.outreach_lead_days),
+                      study_end, cfg.window_after_days)
+
+
 def eligible() -> Column:
     return (F.col("zero_refill") & ~F.col("lead_time_ineligible") & ~F.col("censored")
             & ~F.col("renewal_already_received"))

@@ -22,13 +22,18 @@ def fills(spark, sf_dir):
     return materialized(spark, ("fills", sf_dir), lambda: derive.fills(spark, sf_dir))
 
 
-def candidates(spark, sf_dir, after_days: int = LABEL_AFTER_DAYS):
-    """Every fill with flags, label and features; written once per (data set, window)."""
+def candidate_features(spark, sf_dir):
+    """Window-independent candidate features, written once per session and shared."""
     def build():
         f = fills(spark, sf_dir)
-        cfg = fe.SupplyEndConfig(outreach_lead_days=LEAD_DAYS, window_after_days=after_days)
-        return fe.supply_end_candidates(f, derive.prescriptions(f), STUDY_END, cfg)
-    return materialized(spark, ("candidates", sf_dir, after_days), build)
+        return fe.candidate_features(f, derive.prescriptions(f), LEAD_DAYS)
+    return materialized(spark, ("candidate_features", sf_dir, LEAD_DAYS), build)
+
+
+def candidates(spark, sf_dir, after_days: int = LABEL_AFTER_DAYS):
+    """Every fill with flags, label and features for one label window."""
+    fe.SupplyEndConfig(outreach_lead_days=LEAD_DAYS, window_after_days=after_days)  # validates
+    return fe.with_label(candidate_features(spark, sf_dir), STUDY_END, after_days)
 
 
 def observations(spark, sf_dir, after_days: int = MODEL_AFTER_DAYS):
