@@ -119,6 +119,29 @@ billing_export AS (
 )"""
 
 
+ORDERING_EXPORT = f"""
+ordering_export AS (
+  SELECT {LINE_KEY} AS row_id,
+         CASE WHEN li.l_orderkey % 101 = 0 THEN ' ' ELSE {LINE_KEY} END AS order_id,
+         lpad(CAST(li.l_partkey AS VARCHAR), 11, '0') AS ndc,
+         p.p_name AS drug_name,
+         CASE WHEN li.l_suppkey % 97 = 0 THEN '31/31/2000'
+              ELSE CASE li.l_partkey % 6
+                     WHEN 0 THEN strftime(li.l_shipdate, '%Y-%m-%d')
+                     WHEN 1 THEN strftime(li.l_shipdate, '%-m/%-d/%Y')
+                     WHEN 2 THEN strftime(li.l_shipdate, '%Y%m%d')
+                     WHEN 3 THEN strftime(li.l_shipdate, '%-d %b %Y')
+                     WHEN 4 THEN strftime(li.l_shipdate, '%Y/%m/%d')
+                     ELSE strftime(li.l_shipdate, '%b %-d, %Y') END END AS ordered_date,
+         CASE WHEN li.l_partkey % 89 = 1
+              THEN '-' || regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '[.]?0+$', '')
+              ELSE regexp_replace(CAST(CAST(li.l_quantity AS DECIMAL(18,2)) AS VARCHAR), '[.]?0+$', '') END
+           AS quantity_ordered
+  FROM lineitem li LEFT JOIN part p ON li.l_partkey = p.p_partkey
+  WHERE li.l_linestatus = 'O'
+)"""
+
+
 def candidates_sql(study_end: str, lead: int, after: int) -> str:
     """All fills with dates, flags and history features (brute force)."""
     return f"""

@@ -338,3 +338,27 @@ def export_manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sup.filter(F.pmod(F.col("s_suppkey"), F.lit(len(styles))) == AMBIGUOUS_STYLE).select(
         export_file(F.col("s_suppkey")).alias("source_file"),
         F.lit(MANUAL_OVERRIDE[0]).alias("source"), F.lit(MANUAL_OVERRIDE[1]).alias("destination"))
+
+
+def ordering_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordering as a raw string export with planted defects (validation of the second rule set)."""
+    li = _lineitem_with(spark, sf_dir, {"drug_name"}, "O", "p_name")
+    key = _record_key()
+    ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    ship = F.to_date("l_shipdate")
+    style = F.pmod(pk, F.lit(len(EXPORT_DATE_STYLES)))
+    date_text = None
+    for i, fmt in enumerate(EXPORT_DATE_STYLES):
+        date_text = (F.when(style == i, F.date_format(ship, fmt)) if date_text is None
+                     else date_text.when(style == i, F.date_format(ship, fmt)))
+    qty = F.regexp_replace(F.col("l_quantity").cast("decimal(18,2)").cast("string"), r"[.]?0+$", "")
+    return li.select(
+        key.alias("row_id"),
+        F.when(F.pmod(ok, F.lit(BLANK_ID_EVERY)) == 0, F.lit(" ")).otherwise(key).alias("order_id"),
+        F.lpad(pk.cast("string"), 11, "0").alias("ndc"),
+        F.col("_part_value").alias("drug_name"),
+        F.when(F.pmod(sk, F.lit(BAD_DATE_EVERY)) == 0, F.lit("31/31/2000")).otherwise(date_text)
+        .alias("ordered_date"),
+        F.when(F.pmod(pk, F.lit(NEGATIVE_EVERY)) == 1, F.concat(F.lit("-"), qty)).otherwise(qty)
+        .alias("quantity_ordered"),
+    )
