@@ -20,26 +20,38 @@ def _billed_sum() -> Column:
     return F.sum(F.col("quantity_billed").cast(QUANTITY_DECIMAL)).cast("double")
 
 
-def insurance_billing_summary(billing_in_period: DataFrame, sort: bool = True) -> DataFrame:
+def insurance_billing_summary(billing_in_period: DataFrame, sort: bool = True,
+                              names: DataFrame | None = None) -> DataFrame:
     """Billed quantity and distinct patients per medication, insurer and BIN.
 
     Missing insurer / BIN become ``UNKNOWN`` so the totals still add up to the
-    inventory's billed totals.  A blank string is a value, not missing.
+    inventory's billed totals.  A blank string is a value, not missing.  With a
+    product master ``names`` the rows need only ``ndc``; names are attached
+    after aggregation (see ``reconcile.reconcile_inventory``).
     """
     data = billing_in_period.fillna(UNKNOWN, subset=["insurance_name", "bin_number"])
-    out = data.groupBy(*INSURANCE_KEY).agg(
+    key = INSURANCE_KEY if names is None else tuple(k for k in INSURANCE_KEY if k != "drug_name")
+    out = data.groupBy(*key).agg(
         _billed_sum().alias("total_billed"),
         F.countDistinct("patient_id").alias("unique_patient_count"),
     )
+    if names is not None:
+        out = out.join(names.select("ndc", "drug_name"), "ndc", "left").select(
+            *INSURANCE_KEY, "total_billed", "unique_patient_count")
     return out.orderBy(*INSURANCE_KEY) if sort else out
 
 
-def patient_medication_summary(billing_in_period: DataFrame, sort: bool = True) -> DataFrame:
+def patient_medication_summary(billing_in_period: DataFrame, sort: bool = True,
+                               names: DataFrame | None = None) -> DataFrame:
     """Distinct patients and billed quantity per medication."""
-    out = billing_in_period.groupBy(*MEDICATION_KEY).agg(
+    key = MEDICATION_KEY if names is None else ("ndc",)
+    out = billing_in_period.groupBy(*key).agg(
         F.countDistinct("patient_id").alias("unique_patient_count"),
         _billed_sum().alias("total_billed"),
     )
+    if names is not None:
+        out = out.join(names.select("ndc", "drug_name"), "ndc", "left").select(
+            *MEDICATION_KEY, "unique_patient_count", "total_billed")
     return out.orderBy(*MEDICATION_KEY) if sort else out
 
 

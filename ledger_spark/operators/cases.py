@@ -9,7 +9,7 @@ Per prescription number, events are ordered by ``(ts, event_id)``:
 
 The state is "the last positive-prediction-or-resolution before this event":
 open iff it was a positive prediction.  ``blocked_running`` computes that
-last-relevant-event and the running count of effective resolutions in day
+last-relevant-event and the running count of effective resolutions in hour
 blocks, so a prescription with a huge event history is never ordered in one
 task.  A case is then ``(rx, number of effective resolutions before it)`` and
 all case attributes are a ``groupBy`` with ``min_by`` / ``max_by``.
@@ -47,19 +47,21 @@ def _id(prefix: str, *cols: str | Column) -> Column:
 
 def fold_events(events: DataFrame, threshold: float = LOCKED_THRESHOLD) -> DataFrame:
     """Annotate every event with state: effective / open-at-event / case sequence number."""
-    ev = events.withColumn("_day", F.unix_date(F.to_date("ts")))
+    # blocks are hours: monotone in (ts, event_id), and a busy prescription's
+    # events spread over many of them
+    ev = events.withColumn("_blk", F.date_trunc("hour", F.col("ts")))
     positive = (F.col("kind") == "predict") & (F.col("renewal_probability") >= F.lit(threshold))
     ev = ev.withColumn("positive", F.coalesce(positive, F.lit(False)))
     relevant_kind = F.when(F.col("positive"), "predict").when(F.col("kind") == "resolve", "resolve")
     ev = ev.withColumn("_rel", relevant_kind)
-    s1 = blocked_running(ev, ["rx_number"], "_day", list(ORDER), last_before={"_prev_rel": "_rel"})
+    s1 = blocked_running(ev, ["rx_number"], "_blk", list(ORDER), last_before={"_prev_rel": "_rel"})
     open_before = F.coalesce(F.col("_prev_rel") == "predict", F.lit(False))
     s1 = s1.withColumn("case_open_before", open_before) \
            .withColumn("effective", (F.col("kind") == "resolve") & open_before)
     eff = F.when(F.col("effective"), 1).otherwise(0)
-    s2 = blocked_running(s1, ["rx_number"], "_day", list(ORDER), sums={"_eff_upto": eff})
+    s2 = blocked_running(s1, ["rx_number"], "_blk", list(ORDER), sums={"_eff_upto": eff})
     return s2.withColumn("case_seq", (F.col("_eff_upto") - eff).cast("long")) \
-             .drop("_eff_upto", "_rel", "_prev_rel", "_day")
+             .drop("_eff_upto", "_rel", "_prev_rel", "_blk")
 
 
 def build_workflow(events: DataFrame, threshold: float = LOCKED_THRESHOLD) -> Workflow:

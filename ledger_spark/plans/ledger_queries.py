@@ -116,9 +116,9 @@ FROM bp GROUP BY 1, 2, 3, 4 ORDER BY 1, 2, 3, 4"""
 @register("e_insurance_summary", _billing_year_sql(INSURANCE_SQL), ["total_billed"])
 def e_insurance_summary(spark, sf_dir):
     """Billed quantity and distinct patients per medication, insurer, BIN."""
-    b = _billing_year(spark, sf_dir, ["ndc", "drug_name", "insurance_name", "bin_number",
+    b = _billing_year(spark, sf_dir, ["ndc", "insurance_name", "bin_number",
                                        "quantity_billed", "patient_id", "billing_date"])
-    return an.insurance_billing_summary(b)
+    return an.insurance_billing_summary(b, names=derive.medication_names(spark, sf_dir))
 
 
 @register("e_patient_summary", _billing_year_sql("""
@@ -127,9 +127,8 @@ SELECT ndc, drug_name, count(DISTINCT patient_id) AS unique_patient_count,
 FROM bp GROUP BY 1, 2 ORDER BY 1, 2"""), ["total_billed"])
 def e_patient_summary(spark, sf_dir):
     """Distinct patients and billed quantity per medication."""
-    b = _billing_year(spark, sf_dir, ["ndc", "drug_name", "quantity_billed", "patient_id",
-                                       "billing_date"])
-    return an.patient_medication_summary(b)
+    b = _billing_year(spark, sf_dir, ["ndc", "quantity_billed", "patient_id", "billing_date"])
+    return an.patient_medication_summary(b, names=derive.medication_names(spark, sf_dir))
 
 
 @register("e_patient_details", _billing_year_sql(
@@ -143,9 +142,10 @@ def e_patient_details(spark, sf_dir):
     f"SELECT * FROM ({INSURANCE_SQL}) WHERE ndc = '{DRILL_NDC}'"), ["total_billed"])
 def e_drilldown_insurance(spark, sf_dir):
     """Insurance rows of one medication (E4 drill-down on the medication key)."""
-    b = _billing_year(spark, sf_dir, ["ndc", "drug_name", "insurance_name", "bin_number",
+    b = _billing_year(spark, sf_dir, ["ndc", "insurance_name", "bin_number",
                                        "quantity_billed", "patient_id", "billing_date"])
-    return an.insurance_billing_summary(b.filter(an.medication_filter(DRILL_NDC)))
+    return an.insurance_billing_summary(b.filter(an.medication_filter(DRILL_NDC)),
+                                        names=derive.medication_names(spark, sf_dir))
 
 
 @register("e_selection_patients", _billing_year_sql(

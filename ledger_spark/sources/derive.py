@@ -152,8 +152,9 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The rank ``n`` of a fill in its history (by fill date, then fill id) sets
     the prescription (``n div 3``) and refill counters.  The rank is a blocked
-    running count (see ``operators.scan``), so a very long history is ordered
-    one day at a time instead of in a single task.
+    running count (see ``operators.scan``) over (day, fill-id prefix) blocks, so
+    a very long history -- or a very busy day of one -- is never ranked in a
+    single task.
     """
     wanted = {"patient_id", "drug_name", "insurance_name"}
     li = _lineitem_with(spark, sf_dir, wanted, None, "p_type")
@@ -169,8 +170,10 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(days, F.col("l_linenumber")).cast("int").alias("days_supply"),
         insurance_name, bin_number,
     ).filter(F.col("patient_id").isNotNull() & F.col("medication_id").isNotNull())
-    base = base.withColumn("fill_day", F.unix_date("fill_date"))
-    ranked = blocked_running(base, ["patient_id", "medication_id"], "fill_day",
+    # blocks: (day, first characters of the fill id) -- monotone in (fill_date, fill_id)
+    base = base.withColumn("_blk", F.struct(F.unix_date("fill_date").alias("d"),
+                                            F.substring("fill_id", 1, 3).alias("p")))
+    ranked = blocked_running(base, ["patient_id", "medication_id"], "_blk",
                              ["fill_date", "fill_id"], position="_n")
     n = F.col("_n")
     return ranked.select(
