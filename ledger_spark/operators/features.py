@@ -98,39 +98,48 @@ def prescription_ndc_from_fills(fills: DataFrame) -> DataFrame:
         F.min_by("ndc", F.struct("fill_date", "fill_id")).alias("ndc"))
 
 
+ID_PREFIX_CHARS = 3
+
+
 def history_features(fills: DataFrame) -> DataFrame:
-    """Per-fill history features F8-F10, computed in day blocks.
+    """Per-fill history features F8-F10, computed in (day, fill-id prefix) blocks.
 
     Within one calendar day every interval is 0 and every timing gap is minus
-    the previous fill's days supply, so a day's contribution to the running
-    counts depends only on its own rows plus the last fill of the previous day.
-    Running sums of intervals telescope to ``day - first_day``.
+    the previous fill's days supply, so a block's contribution to the running
+    counts depends only on its own rows plus the last fill of the previous
+    block (interval = block day - previous block day, 0 on the same day).
+    Running sums of intervals telescope to ``day - first_day``.  A block is
+    one day of one history, further split by the first characters of the fill
+    id (monotone in the (date, id) order), so no task orders a whole history
+    or even a whole busy day of one.
     """
     ds = F.col("days_supply")
-    in_day = Window.partitionBy(*HISTORY_KEY, "fill_day").orderBy("fill_date", "fill_id")
-    upto = in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fills = fills.withColumn("_p", F.substring("fill_id", 1, ID_PREFIX_CHARS))
+    blk = [*HISTORY_KEY, "fill_day", "_p"]
+    in_blk = Window.partitionBy(*blk).orderBy("fill_date", "fill_id")
+    upto = in_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     big = _flag(-ds < EARLY_GAP)          # gap = -ds on a same-day refill
     small = _flag(F.abs(-ds) <= ON_TIME_BAND)
     rows = fills.select(
         "*",
-        (F.row_number().over(in_day) - 1).alias("_lpos"),
-        F.lag(ds).over(in_day).alias("_lprev_ds"),
+        (F.row_number().over(in_blk) - 1).alias("_lpos"),
+        F.lag(ds).over(in_blk).alias("_lprev_ds"),
         F.sum(ds).over(upto).alias("_lds"),
         F.sum(big).over(upto).alias("_lbig"),
         F.sum(small).over(upto).alias("_lsmall"),
     )
 
-    days = fills.groupBy(*HISTORY_KEY, "fill_day").agg(
+    blocks = fills.groupBy(*blk).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(ds).alias("_ds"),
         F.sum(big).alias("_big"),
         F.sum(small).alias("_small"),
         F.max_by(ds, F.struct("fill_date", "fill_id")).alias("_last_ds"),
     )
-    hist = Window.partitionBy(*HISTORY_KEY).orderBy("fill_day")
+    hist = Window.partitionBy(*HISTORY_KEY).orderBy("fill_day", "_p")
     before = hist.rowsBetween(Window.unboundedPreceding, -1)
-    upto_day = hist.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    days = days.select(
+    upto_blk = hist.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.select(
         "*",
         F.lag("fill_day").over(hist).alias("_prev_day"),
         F.lag("_last_ds").over(hist).alias("_prev_last_ds"),
@@ -141,26 +150,26 @@ def history_features(fills: DataFrame) -> DataFrame:
     t1 = F.when(F.abs(gap1) <= ON_TIME_BAND, 1).otherwise(0)
     last_big = _flag(-F.col("_last_ds") < EARLY_GAP)
     last_small = _flag(F.abs(-F.col("_last_ds")) <= ON_TIME_BAND)
-    days = days.select(
+    blocks = blocks.select(
         "*", e1.alias("_e1"), t1.alias("_t1"),
-        (e1 + F.col("_big") - last_big).alias("_day_early"),
-        (t1 + F.col("_small") - last_small).alias("_day_ontime"),
+        (e1 + F.col("_big") - last_big).alias("_blk_early"),
+        (t1 + F.col("_small") - last_small).alias("_blk_ontime"),
         F.coalesce(F.pow(F.col("fill_day") - F.col("_prev_day"), 2), F.lit(0)).cast("long").alias("_sq"),
     )
-    days = days.select(
-        *HISTORY_KEY, "fill_day", "_prev_day", "_prev_last_ds", "_first_day", "_e1", "_t1",
+    blocks = blocks.select(
+        *blk, "_prev_day", "_prev_last_ds", "_first_day", "_e1", "_t1",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
         F.coalesce(F.sum("_ds").over(before), F.lit(0)).alias("_ds_before"),
-        F.coalesce(F.sum("_day_early").over(before), F.lit(0)).alias("_early_before"),
-        F.coalesce(F.sum("_day_ontime").over(before), F.lit(0)).alias("_ontime_before"),
-        F.sum("_sq").over(upto_day).alias("_sq_upto"),
+        F.coalesce(F.sum("_blk_early").over(before), F.lit(0)).alias("_early_before"),
+        F.coalesce(F.sum("_blk_ontime").over(before), F.lit(0)).alias("_ontime_before"),
+        F.sum("_sq").over(upto_blk).alias("_sq_upto"),
     )
 
-    j = rows.join(days, [*HISTORY_KEY, "fill_day"], "inner")
+    j = rows.join(blocks, blk, "inner")
     k = F.col("_n_before") + F.col("_lpos")                     # gaps / intervals so far
-    first_in_day = F.col("_lpos") == 0
-    prev_day = F.when(first_in_day, F.col("_prev_day")).otherwise(F.col("fill_day"))
-    prev_ds = F.when(first_in_day, F.col("_prev_last_ds")).otherwise(F.col("_lprev_ds"))
+    first_in_blk = F.col("_lpos") == 0
+    prev_day = F.when(first_in_blk, F.col("_prev_day")).otherwise(F.col("fill_day"))
+    prev_ds = F.when(first_in_blk, F.col("_prev_last_ds")).otherwise(F.col("_lprev_ds"))
     since_prev = F.col("fill_day") - prev_day
     s1 = (F.col("fill_day") - F.col("_first_day")).cast("long")   # sum of intervals
     s2 = F.col("_sq_upto").cast("long")                            # sum of squared intervals
@@ -171,7 +180,7 @@ def history_features(fills: DataFrame) -> DataFrame:
     kd = k.cast("double")
     var_num = (k.cast("long") * s2 - s1 * s1).cast("double")
     return j.select(
-        *fills.columns,
+        *[c for c in fills.columns if c != "_p"],
         k.cast("int").alias("previous_fill_count"),
         since_prev.cast("double").alias("days_since_previous_fill"),
         F.when(has, s1 / kd).alias("average_previous_refill_interval_days"),

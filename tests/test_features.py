@@ -1,6 +1,9 @@
 """Label border cases and point-in-time features on tiny histories."""
 
 import datetime as dt
+import random
+
+from hypothesis import given, settings, strategies as st
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +110,51 @@ def test_accounting_matches_fixture_counts(spark, sf_dir):
     assert (a.candidate_fill_count, a.zero_refill_candidate_count, a.censored_count,
             a.lead_time_ineligible_count, a.renewal_already_received_count,
             a.observation_count, a.positive_count) == (6000, 1711, 62, 276, 319, 1054, 53)
+
+
+def _loop_features(rows):
+    """Row-by-row definition of the history features (test oracle)."""
+    out = {}
+    by_hist = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
+        by_hist.setdefault((r[1], r[2]), []).append(r)
+    for hist in by_hist.values():
+        dates, supplies, intervals, gaps = [], [], [], []
+        for fid, _p, _m, day, ds in hist:
+            since = gap = None
+            if dates:
+                since = day - dates[-1]
+                intervals.append(since)
+                gap = since - supplies[-1]
+                gaps.append(gap)
+            n = len(intervals)
+            mean = sum(intervals) / n if n else None
+            std = (sum((x - mean) ** 2 for x in intervals) / n) ** 0.5 if n >= 2 else None
+            out[fid] = (len(dates), since, mean, std, gap, sum(gaps) / n if n else None,
+                        sum(g < -1 for g in gaps) / n if n else None,
+                        sum(abs(g) <= 1 for g in gaps) / n if n else None)
+            dates.append(day)
+            supplies.append(ds)
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 100_000))
+def test_history_features_equal_row_by_row(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        fid = f"{rng.choice('123456789')}{rng.randint(0, 99):02d}-{i:03d}"
+        rows.append((fid, rng.choice(["P1", "P2"]), "M", rng.randint(0, 8), rng.choice([1, 2, 7, 30])))
+    base = dt.date(2026, 1, 1)
+    df = spark.createDataFrame(
+        [(f, p, "R", m, "N", base + dt.timedelta(days=d), 1.0, ds, 0, 0) for f, p, m, d, ds in rows], FILL_SCHEMA)
+    got = {r.fill_id: r for r in fe.history_features(fe.prepare_fills(df)).collect()}
+    want = _loop_features(rows)
+    for fid, w in want.items():
+        g = got[fid]
+        vals = (g.previous_fill_count, g.days_since_previous_fill, g.average_previous_refill_interval_days,
+                g.std_previous_refill_interval_days, g.latest_refill_timing_gap_days,
+                g.average_previous_timing_gap_days, g.previous_early_fill_rate, g.previous_on_time_fill_rate)
+        for a, b in zip(vals, w):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9)), (fid, vals, w)
