@@ -76,7 +76,7 @@ SELECT count(DISTINCT patient_id) AS patient_count,
        count(*) FILTER (WHERE zero_refill AND NOT censored AND lead_time_ineligible) AS lead_time_ineligible_count,
        count(*) FILTER (WHERE zero_refill AND NOT censored AND NOT lead_time_ineligible
                         AND renewal_already_received) AS renewal_already_received_count
-FROM candidates"""), ["target_rate"])
+FROM candidates"""), ["target_rate"], dates=("observation_date_min", "observation_date_max", "fill_date_min", "fill_date_max"))
 def g_dataset_summary(spark, sf_dir):
     """Counts, date ranges, target balance, duplicate ids and accounting in one row."""
     return ig.dataset_summary(candidates(spark, sf_dir, LABEL_AFTER_DAYS))
@@ -148,7 +148,7 @@ def g_missing_features(spark, sf_dir):
 @register("h_split_counts", scored_sql("""
 SELECT split, count(*) AS observations, CAST(sum(label) AS BIGINT) AS positives,
        min(observation_date) AS date_min, max(observation_date) AS date_max
-FROM split_obs GROUP BY split"""))
+FROM split_obs GROUP BY split"""), dates=("date_min", "date_max"))
 def h_split_counts(spark, sf_dir):
     """Chronological split sizes, positives and date ranges (H1)."""
     s = prep.chronological_split(observations(spark, sf_dir, MODEL_AFTER_DAYS), BOUNDS)

@@ -49,7 +49,7 @@ SELECT fill_id, fill_date, patient_id, medication_id, prescription_id, refill_nu
        refills_remaining, days_supply,
        lead(fill_date) OVER (PARTITION BY patient_id, medication_id ORDER BY fill_date, fill_id)
          AS next_fill_date
-FROM fills""")
+FROM fills""", dates=("fill_date", "next_fill_date"))
 def f_prepared_fills(spark, sf_dir):
     """Fill history in (patient, medication) order with prescription and next fill (F1, F2)."""
     nxt = fe.with_next_fill_date(fe.prepare_fills(fills(spark, sf_dir)))
@@ -57,13 +57,13 @@ def f_prepared_fills(spark, sf_dir):
                       "refill_number", "refills_remaining", "days_supply", "next_fill_date")
 
 
-@register("f_observations", observations_sql(LABEL_AFTER_DAYS), OBS_DOUBLES)
+@register("f_observations", observations_sql(LABEL_AFTER_DAYS), OBS_DOUBLES, dates=("observation_date", "expected_supply_end_date"))
 def f_observations(spark, sf_dir):
     """Supply-end observations, 7-day renewal label, 15 point-in-time features."""
     return fe.observations(candidates(spark, sf_dir, LABEL_AFTER_DAYS), sort=True)
 
 
-@register("f_observations_180", observations_sql(MODEL_AFTER_DAYS), OBS_DOUBLES)
+@register("f_observations_180", observations_sql(MODEL_AFTER_DAYS), OBS_DOUBLES, dates=("observation_date", "expected_supply_end_date"))
 def f_observations_180(spark, sf_dir):
     """Same observations with a 180-day renewal window (the model data set)."""
     return fe.observations(candidates(spark, sf_dir, MODEL_AFTER_DAYS), sort=True)
@@ -103,7 +103,7 @@ def f_accounting_180(spark, sf_dir):
 SELECT fill_id AS observation_id, fill_date AS observation_date,
        CAST(CASE WHEN datediff('day', fill_date, nf) BETWEEN 1 AND 14 THEN 1 ELSE 0 END AS INTEGER)
          AS refill_within_14_days
-FROM nx WHERE fill_date <= DATE '{STUDY_END}' - INTERVAL 14 DAY""")
+FROM nx WHERE fill_date <= DATE '{STUDY_END}' - INTERVAL 14 DAY""", dates=("observation_date",))
 def f_legacy_target(spark, sf_dir):
     """Superseded fill-date target: next fill within 1..14 days."""
     return fe.legacy_refill_observations(fills(spark, sf_dir), STUDY_END)

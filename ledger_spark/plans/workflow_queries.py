@@ -84,7 +84,7 @@ def _names(checks):
     return [c.split()[0].replace("length(", "").replace(")", "") for c, _ in checks]
 
 
-@register("m_score_batch", _m_sql("SELECT * FROM scored"), ["renewal_probability", "threshold"])
+@register("m_score_batch", _m_sql("SELECT * FROM scored"), ["renewal_probability", "threshold"], dates=("batch_id", "expected_supply_end_date"), nullable_ints=("days_until_supply_end", "prediction", "eligible"))
 def m_score_batch(spark, sf_dir):
     """Validate, band, score and review every request of the monthly batches (M1-M5, M7)."""
     return score_requests(spark, sf_dir)
@@ -95,7 +95,7 @@ SELECT batch_id, count(*) AS total_records, count(*) FILTER (WHERE status <> 'er
        count(*) FILTER (WHERE status = 'error') AS failed,
        count(*) FILTER (WHERE coalesce(eligible, false)) AS eligible_records,
        count(*) FILTER (WHERE prediction = 1) AS flagged_for_review
-FROM scored GROUP BY batch_id"""))
+FROM scored GROUP BY batch_id"""), dates=("batch_id",))
 def m_batch_counters(spark, sf_dir):
     """total / processed / failed / eligible / flagged per batch (M6)."""
     return sc.batch_counters(score_requests(spark, sf_dir), ["batch_id"])
@@ -165,13 +165,13 @@ def workflow(spark, sf_dir):
 
 
 @register("n_prediction_records", _EVENTS_SQL + "SELECT * FROM predictions",
-          ["renewal_probability", "threshold"])
+          ["renewal_probability", "threshold"], timestamps=("predicted_at",))
 def n_prediction_records(spark, sf_dir):
     """Every eligible prediction appended with a deterministic id and its case number."""
     return workflow(spark, sf_dir).predictions
 
 
-@register("n_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"])
+@register("n_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"], timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
 def n_cases(spark, sf_dir):
     """Cases opened, refreshed and resolved by the event fold."""
     return workflow(spark, sf_dir).cases
@@ -210,19 +210,19 @@ def n_workflow_summary(spark, sf_dir):
 @register("n_work_queue", _EVENTS_SQL + f"""
 SELECT *, {priority_rank_sql('priority')} AS urgency_rank FROM cases WHERE status = 'open'
 ORDER BY urgency_rank, latest_days_until_supply_end, latest_renewal_probability DESC, opened_at, case_id""",
-          ["latest_renewal_probability"])
+          ["latest_renewal_probability"], timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
 def n_work_queue(spark, sf_dir):
     """Open cases in work order: urgency, days left, probability, age."""
     return cs.work_queue(workflow(spark, sf_dir).cases)
 
 
-@register("n_activities", _EVENTS_SQL + "SELECT * FROM activities")
+@register("n_activities", _EVENTS_SQL + "SELECT * FROM activities", timestamps=("performed_at",))
 def n_activities(spark, sf_dir):
     """Activities accepted on an open case or rejected as conflicts."""
     return workflow(spark, sf_dir).activities
 
 
-@register("n_resolutions", _EVENTS_SQL + "SELECT * FROM resolutions")
+@register("n_resolutions", _EVENTS_SQL + "SELECT * FROM resolutions", timestamps=("resolved_at",))
 def n_resolutions(spark, sf_dir):
     """Resolutions: effective on an open case, else conflicts."""
     return workflow(spark, sf_dir).resolutions
@@ -257,7 +257,7 @@ def n_constraint_issues(spark, sf_dir):
     return cs.constraint_issues(workflow(spark, sf_dir))
 
 
-@register("n_stream_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"])
+@register("n_stream_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"], timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
 def n_stream_cases(spark, sf_dir):
     """The case fold as a Structured Streaming job (available-now), latest state per case."""
     from ledger_spark.streaming.case_stream import run_case_stream
