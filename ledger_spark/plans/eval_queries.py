@@ -76,7 +76,8 @@ SELECT count(DISTINCT patient_id) AS patient_count,
        count(*) FILTER (WHERE zero_refill AND NOT censored AND lead_time_ineligible) AS lead_time_ineligible_count,
        count(*) FILTER (WHERE zero_refill AND NOT censored AND NOT lead_time_ineligible
                         AND renewal_already_received) AS renewal_already_received_count
-FROM candidates"""), ["target_rate"], dates=("observation_date_min", "observation_date_max", "fill_date_min", "fill_date_max"))
+FROM candidates"""), ["target_rate"],
+          dates=("observation_date_min", "observation_date_max", "fill_date_min", "fill_date_max"))
 def g_dataset_summary(spark, sf_dir):
     """Counts, date ranges, target balance, duplicate ids and accounting in one row."""
     return ig.dataset_summary(candidates(spark, sf_dir, LABEL_AFTER_DAYS))

@@ -79,7 +79,8 @@ SELECT DATE '{start}' AS start_date, DATE '{end}' AS end_date, *,
 FROM cov"""
 
 
-@register("d_coverage_1998", _coverage_sql(YEAR_START, YEAR_END), dates=("start_date", "end_date", "billing_date_min", "billing_date_max", "ordered_date_min", "ordered_date_max"))
+@register("d_coverage_1998", _coverage_sql(YEAR_START, YEAR_END),
+          dates=("start_date", "end_date", "billing_date_min", "billing_date_max", "ordered_date_min", "ordered_date_max"))
 def d_coverage_1998(spark, sf_dir):
     """Period coverage of both sides and the material-difference flag."""
     return _reconcile(spark, sf_dir, YEAR_START, YEAR_END).coverage
@@ -87,7 +88,8 @@ def d_coverage_1998(spark, sf_dir):
 
 @register("d_date_bounds", with_(BILLING, ORDERING) + """
 SELECT min(d) AS date_min, max(d) AS date_max FROM (
-  SELECT billing_date AS d FROM billing UNION ALL SELECT ordered_date FROM ordering) u""", dates=("date_min", "date_max"))
+  SELECT billing_date AS d FROM billing UNION ALL SELECT ordered_date FROM ordering) u""",
+            dates=("date_min", "date_max"))
 def d_date_bounds(spark, sf_dir):
     """Earliest and latest date over both exports."""
     return rc.available_date_bounds(derive.billing(spark, sf_dir, ["billing_date"]),
@@ -132,7 +134,8 @@ def e_patient_summary(spark, sf_dir):
 
 
 @register("e_patient_details", _billing_year_sql(
-    "SELECT " + ", ".join(an.PATIENT_DETAIL_COLUMNS) + " FROM bp"), ["quantity_billed"], dates=("date_of_birth", "billing_date"), nullable_ints=("refills_remaining",))
+    "SELECT " + ", ".join(an.PATIENT_DETAIL_COLUMNS) + " FROM bp"), ["quantity_billed"],
+              dates=("date_of_birth", "billing_date"), nullable_ints=("refills_remaining",))
 def e_patient_details(spark, sf_dir):
     """One row per billing record in the period, 12 display columns."""
     return an.patient_billing_details(_billing_year(spark, sf_dir, derive.BILLING_COLUMNS))

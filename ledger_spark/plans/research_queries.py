@@ -57,13 +57,15 @@ def f_prepared_fills(spark, sf_dir):
                       "refill_number", "refills_remaining", "days_supply", "next_fill_date")
 
 
-@register("f_observations", observations_sql(LABEL_AFTER_DAYS), OBS_DOUBLES, dates=("observation_date", "expected_supply_end_date"))
+@register("f_observations", observations_sql(LABEL_AFTER_DAYS), OBS_DOUBLES,
+          dates=("observation_date", "expected_supply_end_date"))
 def f_observations(spark, sf_dir):
     """Supply-end observations, 7-day renewal label, 15 point-in-time features."""
     return fe.observations(candidates(spark, sf_dir, LABEL_AFTER_DAYS), sort=True)
 
 
-@register("f_observations_180", observations_sql(MODEL_AFTER_DAYS), OBS_DOUBLES, dates=("observation_date", "expected_supply_end_date"))
+@register("f_observations_180", observations_sql(MODEL_AFTER_DAYS), OBS_DOUBLES,
+          dates=("observation_date", "expected_supply_end_date"))
 def f_observations_180(spark, sf_dir):
     """Same observations with a 180-day renewal window (the model data set)."""
     return fe.observations(candidates(spark, sf_dir, MODEL_AFTER_DAYS), sort=True)

@@ -84,7 +84,8 @@ def _names(checks):
     return [c.split()[0].replace("length(", "").replace(")", "") for c, _ in checks]
 
 
-@register("m_score_batch", _m_sql("SELECT * FROM scored"), ["renewal_probability", "threshold"], dates=("batch_id", "expected_supply_end_date"), nullable_ints=("days_until_supply_end", "prediction", "eligible"))
+@register("m_score_batch", _m_sql("SELECT * FROM scored"), ["renewal_probability", "threshold"],
+          dates=("batch_id", "expected_supply_end_date"), nullable_ints=("days_until_supply_end", "prediction", "eligible"))
 def m_score_batch(spark, sf_dir):
     """Validate, band, score and review every request of the monthly batches (M1-M5, M7)."""
     return score_requests(spark, sf_dir)
@@ -171,7 +172,8 @@ def n_prediction_records(spark, sf_dir):
     return workflow(spark, sf_dir).predictions
 
 
-@register("n_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"], timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
+@register("n_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"],
+          timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
 def n_cases(spark, sf_dir):
     """Cases opened, refreshed and resolved by the event fold."""
     return workflow(spark, sf_dir).cases
@@ -257,7 +259,8 @@ def n_constraint_issues(spark, sf_dir):
     return cs.constraint_issues(workflow(spark, sf_dir))
 
 
-@register("n_stream_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"], timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
+@register("n_stream_cases", _EVENTS_SQL + "SELECT * FROM cases", ["latest_renewal_probability"],
+          timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
 def n_stream_cases(spark, sf_dir):
     """The case fold as a Structured Streaming job (available-now), latest state per case."""
     from ledger_spark.streaming.case_stream import run_case_stream
