@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.operators.features import FEATURE_COLUMNS, TARGET_COLUMN, eligible
+from ledger_spark.operators.quantiles import exact_quantiles
 
 
 def dataset_summary(candidates: DataFrame) -> DataFrame:
@@ -44,8 +45,11 @@ def dataset_summary(candidates: DataFrame) -> DataFrame:
 def fills_per_patient(fills: DataFrame) -> DataFrame:
     """Minimum, median, mean and maximum fills per patient with any fill."""
     per = fills.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.min("n").alias("minimum"), F.median("n").cast("double").alias("median"),
-                   F.avg("n").alias("mean"), F.max("n").alias("maximum"))
+    stats = per.agg(F.min("n").alias("minimum"), F.avg("n").alias("mean"), F.max("n").alias("maximum"))
+    med = exact_quantiles(per, [], "n", {"median": 0.5})
+    both = stats.unionByName(med, allowMissingColumns=True)      # two one-row frames
+    return both.agg(F.max("minimum").alias("minimum"), F.max("median").alias("median"),
+                    F.max("mean").alias("mean"), F.max("maximum").alias("maximum"))
 
 
 def violations(fills: DataFrame, prescriptions: DataFrame) -> DataFrame:

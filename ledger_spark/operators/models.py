@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledger_spark.operators import metrics as me
+from ledger_spark.operators.quantiles import exact_median
 from ledger_spark.operators.scan import blocked_running
 from ledger_spark.operators.features import FEATURE_COLUMNS
 from ledger_spark.operators.prep import MISSING_STD_COLUMN, MISSING_STD_INDICATOR, MODEL_FEATURE_COLUMNS
@@ -75,7 +76,7 @@ def _in(c: str) -> str:
 def _preprocess_stage(train: DataFrame, standardize: bool,
                       features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> SQLTransformer:
     """Median imputation + indicator (+ population z-score) fitted on ``train`` (H2, H3, H7, H8)."""
-    median = train.agg(F.median(MISSING_STD_COLUMN)).first()[0]
+    median = exact_median(train, MISSING_STD_COLUMN)
     if median is None:
         raise ValueError("Training data has no available refill-interval standard deviation.")
     raw = {c: f"`{c}`" for c in FEATURE_COLUMNS}

@@ -11,6 +11,7 @@ from ledger_spark.operators import integrity as ig
 from ledger_spark.operators import metrics as me
 from ledger_spark.operators import prep
 from ledger_spark.operators.propensity import renewal_propensity, propensity_sql
+from ledger_spark.operators.quantiles import exact_quantiles
 from ledger_spark.plans.oracle import FILLS, with_
 from ledger_spark.plans.registry import register
 from ledger_spark.plans.research_queries import (
@@ -444,10 +445,11 @@ def j_feature_stats_by_outcome(spark, sf_dir):
     o = _outcomes(spark, sf_dir)
     lf = o.select("outcome", *[F.col(c).cast("double").alias(c) for c in ERROR_FEATURES]) \
         .unpivot(["outcome"], list(ERROR_FEATURES), "feature", "value")
-    return lf.groupBy("outcome", "feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.percentile("value", 0.5).alias("median"), F.stddev_samp("value").alias("std"),
-        F.percentile("value", 0.25).alias("q25"), F.percentile("value", 0.75).alias("q75"))
+    stats = lf.groupBy("outcome", "feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    qs = exact_quantiles(lf, ["outcome", "feature"], "value", {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return stats.join(qs, ["outcome", "feature"], "left").select(
+        "outcome", "feature", "count", "mean", "median", "std", "q25", "q75")
 
 
 @register("j_history_error_rates", scored_sql(_OUTCOME_SQL + """
@@ -484,12 +486,12 @@ FROM outc GROUP BY outcome"""), ["mean", "q10", "q25", "median", "q75", "q90", "
 def j_probability_quantiles(spark, sf_dir):
     """Score distribution per outcome: mean, deciles, quartiles, range."""
     o = _outcomes(spark, sf_dir)
-    q = F.percentile("score", F.array(*[F.lit(x) for x in (0.10, 0.25, 0.5, 0.75, 0.90)]))
     g = o.groupBy("outcome").agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"),
-                                 q.alias("_q"), F.min("score").alias("min"), F.max("score").alias("max"))
-    return g.select("outcome", "count", "mean",
-                    *[F.col("_q")[i].alias(n) for i, n in enumerate(("q10", "q25", "median", "q75", "q90"))],
-                    "min", "max")
+                                 F.min("score").alias("min"), F.max("score").alias("max"))
+    qs = exact_quantiles(o, ["outcome"], "score",
+                         {"q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90})
+    return g.join(qs, "outcome", "left").select(
+        "outcome", "count", "mean", "q10", "q25", "median", "q75", "q90", "min", "max")
 
 
 @register("j_error_confidence", scored_sql(_OUTCOME_SQL + f"""

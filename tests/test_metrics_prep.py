@@ -117,3 +117,25 @@ def test_standardization_uses_population_std(spark):
     df = spark.createDataFrame([("train", 1.0), ("train", 3.0)], "split string, x double")
     s = prep.standardization_stats(df, ["x"]).first()
     assert (s.mean, s.std) == (2.0, 1.0)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(0, 10_000))
+def test_exact_quantiles_match_numpy(spark, seed):
+    import numpy as np
+    from ledger_spark.operators.quantiles import exact_quantiles
+    rng = random.Random(seed)
+    rows = [(rng.choice("xyz"), rng.choice([None, float(rng.randint(-5, 5)), rng.random() * 100]))
+            for _ in range(150)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q90": 0.9}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, count_name="n").collect()}
+    for g in "xyz":
+        vals = [v for gg, v in rows if gg == g and v is not None]
+        if not vals:
+            continue
+        assert got[g].n == len(vals)
+        for name, q in probs.items():
+            assert got[g][name] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-9)
+    empty = exact_quantiles(df.filter("v > 1e9"), [], "v", {"m": 0.5}).collect()
+    assert len(empty) == 1 and empty[0].m is None
