@@ -151,13 +151,18 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1]).drop(*drop)
 
 
-def compare(specs: Sequence[ModelSpec], split_df: DataFrame, threads: int = 4) -> DataFrame:
-    """Fit each spec on train, evaluate train and validation at 0.50."""
+def compare(specs: Sequence[ModelSpec], split_df: DataFrame, threads: int = 4,
+            fitter=None) -> DataFrame:
+    """Fit each spec on train, evaluate train and validation at 0.50.
+
+    ``fitter(spec, train)`` defaults to ``fit``; callers may pass a cached one.
+    """
     train = split_df.filter(F.col("split") == "train")
     fit_on = split_df.filter(F.col("split").isin("train", "validation"))
+    fitter = fitter or fit
 
     def one(spec: ModelSpec) -> DataFrame:
-        model = fit(spec, train)
+        model = fitter(spec, train)
         scored = score(model, fit_on).withColumn("model_name", F.lit(spec.name))
         return me.evaluation_summary(scored, ["model_name", "split"])
 
