@@ -104,7 +104,7 @@ def _classifier(spec: ModelSpec, n_train: int):
         # sklearn minimizes 1/2||w||^2 + C * sum(loss); Spark mean(loss) + reg/2 ||w||^2
         return LogisticRegression(featuresCol="features", labelCol=LABEL, regParam=1.0 / (c * n_train),
                                   elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0,
-                                  standardization=False, maxIter=p.get("max_iter", 500), tol=1e-10)
+                                  standardization=False, maxIter=p.get("max_iter", 500), tol=1e-8)
     if spec.family == "random_forest":
         mf = p.get("max_features", "sqrt")
         strategy = {"sqrt": "sqrt", "log2": "log2", 1.0: "all"}.get(mf, str(mf))
