@@ -100,7 +100,8 @@ def build_workflow(events: DataFrame, threshold: float = LOCKED_THRESHOLD) -> Wo
         "opened_at", "last_evaluated_at", "resolved_at",
         "initial_prediction_id", "latest_prediction_id", "positive_predictions",
     )
-    case_of = lambda: _id("case", "rx_number", "case_seq")
+    def case_of() -> Column:
+        return _id("case", "rx_number", "case_seq")
     activities = folded.filter(F.col("kind") == "activity").select(   # N6
         _id("activity", "event_id").alias("activity_id"),
         F.when(F.col("case_open_before"), case_of()).alias("case_id"),

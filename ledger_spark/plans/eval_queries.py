@@ -467,11 +467,12 @@ def j_history_error_rates(spark, sf_dir):
     """Error, false-negative and false-positive rates for seen vs unseen patients."""
     o = _outcomes(spark, sf_dir)
     oc = F.col("outcome")
-    n = lambda cond: F.count_if(cond)
+    n = F.count_if
     g = o.groupBy(F.when(F.col("seen_in_train"), "seen").otherwise("unseen").alias("patient_group")).agg(
         F.count(F.lit(1)).alias("observations"), F.countDistinct("patient_id").alias("unique_patients"),
         n(oc == "TP").alias("TP"), n(oc == "FP").alias("FP"), n(oc == "TN").alias("TN"), n(oc == "FN").alias("FN"))
-    d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    def d(a, b):
+        return F.try_divide(a.cast("double"), b.cast("double"))
     return g.select("*", d(F.col("FP") + F.col("FN"), F.col("observations")).alias("error_rate"),
                     d(F.col("FN"), F.col("TP") + F.col("FN")).alias("false_negative_rate"),
                     d(F.col("FP"), F.col("TN") + F.col("FP")).alias("false_positive_rate"))

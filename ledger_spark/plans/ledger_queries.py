@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from ledger_spark.operators import analytics as an
 from ledger_spark.operators import reconcile as rc

@@ -1,6 +1,6 @@
 """Domain tables derived from the test data set.
 
-The reference works on pharmacy exports and prescription fill histories.  The
+The domain is billing / ordering exports and prescription fill histories.  The
 test data is a TPC-H-like star schema, so these builders map it onto the
 domain (the mapping is fixed in FIXTURES.md §4):
 
