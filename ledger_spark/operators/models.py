@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ledger_spark.operators import metrics as me
 from ledger_spark.operators.quantiles import exact_median
 from ledger_spark.operators.scan import blocked_running
+from ledger_spark.session import num_partitions
 from ledger_spark.operators.features import FEATURE_COLUMNS
 from ledger_spark.operators.prep import MISSING_STD_COLUMN, MISSING_STD_INDICATOR, MODEL_FEATURE_COLUMNS
 
@@ -136,7 +137,8 @@ def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str] = MODEL_FEATU
     """
     n = train.count()
     wanted = max(1, -(-n // ROWS_PER_TRAIN_PARTITION))
-    if train.rdd.getNumPartitions() > wanted:
+    parts = num_partitions(train)
+    if parts is not None and parts > wanted:
         train = train.coalesce(wanted)
     pre = _preprocess_stage(train, spec.family == "logistic_regression", features)
     asm = VectorAssembler(inputCols=[_in(c) for c in features], outputCol="features")

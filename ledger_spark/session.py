@@ -108,7 +108,16 @@ def spread(df: DataFrame) -> DataFrame:
     a small file with a handful of splits is spread round-robin so parsing
     is not serialized on a few tasks.
     """
+    parts = num_partitions(df)
+    if parts is None:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if parts < cores else df
+
+
+def num_partitions(df: DataFrame) -> int | None:
+    """Planned partition count, or None where the RDD view is unavailable (Spark Connect)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return None
