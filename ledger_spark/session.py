@@ -47,13 +47,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a local one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints and written tables.
+
+    The cluster's ``spark.checkpoint.dir`` comes first, then a folder set with
+    ``SparkContext.setCheckpointDir``.  Only a local master may fall back to a
+    folder of this machine; a cluster without a shared folder is an error.
+    """
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledger-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
