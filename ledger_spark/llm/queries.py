@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_spark.llm import chat, decontaminate, line_dedup, mixing, oracles, topk
-from ledger_spark.llm.common import table
+from ledger_spark.llm import chat, decontaminate, line_dedup, mixing, oracles, quality, topk, toxicity
+from ledger_spark.llm.common import remainder, table
 from ledger_spark.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def _classified(docs: DataFrame, score, held_out) -> DataFrame:
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _classified(docs, toxicity.score(F.col("text"), model), held_out)
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _classified(docs, quality.score(F.col("text"), model), held_out)
+
+
 @query("op6_decontamination", oracles.DECONTAMINATE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every benchmark item's windows in every document."""

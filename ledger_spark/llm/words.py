@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Blanks for words made of letters, digits and bytes beyond ASCII only.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -76,7 +78,7 @@ class Slice:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(column: pa.Array, size: int = SLICE_BYTES, blank: np.ndarray = _BLANK) -> Iterator[Slice]:
     """The texts of a column (null: empty) in slices of about ``size`` bytes; a longer text is one slice."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     n = len(column)
@@ -91,7 +93,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
         hi = min(n, max(hi, lo + 1))
         data = everything[offsets[lo]:offsets[hi]]
         inside = offsets[lo:hi + 1] - offsets[lo]
-        ink = ~_BLANK[data]
+        ink = ~blank[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[inside] = True
         first, last = ink.copy(), ink.copy()
