@@ -111,3 +111,19 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM y GROUP BY conv_id
 """
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT rid, doc_id, unnest(range(1, len(w) - 18)) AS s,
+             unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS gram
+      FROM d WHERE len(w) >= 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id NULLS FIRST, rid, s) AS nth FROM x),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 20)) AS p FROM f WHERE nth > 1),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.rid, string_agg(word, ' ' ORDER BY words.p) AS text
+         FROM words ANTI JOIN gone ON words.rid = gone.rid AND words.p = gone.p GROUP BY words.rid),
+lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_spark.llm import chat, decontaminate, line_dedup, mixing, oracles, quality, topk, toxicity
+from ledger_spark.llm import (chat, decontaminate, jaccard_join, line_dedup, mixing, oracles, quality, substring_dedup,
+                               topk, toxicity)
 from ledger_spark.llm.common import remainder, table
 from ledger_spark.llm.registry import ORACLES, QUERIES, query
 
@@ -33,6 +34,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(docs, quality.score(F.col("text"), model), held_out)
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 90 % of their 3-word shingles."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+@query("op5_substring_dedup", oracles.SUBSTRINGS)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words lost to earlier repeats of 20 words or more, and a digest of the words kept."""
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op6_decontamination", oracles.DECONTAMINATE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every benchmark item's windows in every document."""
