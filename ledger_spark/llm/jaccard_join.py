@@ -12,8 +12,8 @@ Candidates come in two steps.  First each shingle's posting list links its membe
 to its smallest class only; verified links give first groups.  Then all members of a
 list that are still in different groups are paired, members of the list's largest
 group only with those outside it, under size and position bounds.  Only pairs that
-share enough prefix shingles and can still reach the overlap are verified, on the
-whole sets.  So a group of thousands of near copies is no square of pairs, and no
+share enough prefix shingles and can still reach the overlap (by position, and by a
+histogram of each set) are verified, on the whole sets.  So a group of thousands of near copies is no square of pairs, and no
 link between different groups is missed.
 
 How often shingles occur is counted over all documents: a task's slice reports those
@@ -44,6 +44,7 @@ FREQUENT = 1 << 17          # shingles in the broadcast order
 SLICE_SHINGLES = 1 << 21    # shingles counted together in a task
 MOST_MATCHES = 4
 PAIR_COST, VERIFY_COST = 1.0, 100.0
+CELLS = 64                  # of the histogram that bounds a pair's overlap before verification
 FILTER_BITS = 24            # of the bitmap that picks the texts to verify
 
 
@@ -72,10 +73,11 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, cls) of every row; cls is null for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for part in W.slices(batch.column("text")) for s in _sets(part, k)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_signature(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "cls"])
+            for part in W.slices(batch.column("text")):
+                sets = _sets(part, k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(part.lo, part.hi - part.lo), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([_signature(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "cls"])
     return docs.mapInArrow(run, "doc_id long, n long, cls long")
 
 
@@ -131,7 +133,7 @@ def matches(seen: np.ndarray, n: int, percent: int, most: int = MOST_MATCHES) ->
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, shingles: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(doc_id, cls, n, asked, prefix) of every non-empty row; the prefix in global order."""
+    """(doc_id, cls, n, asked, prefix, cells) of every non-empty row; the prefix in global order, the set's size by cell."""
     common = np.zeros(1 << 20, bool)
     common[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -146,10 +148,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shingles: np.ndarray, seen:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out: dict[str, list] = {c: [] for c in ("doc_id", "cls", "n", "asked", "prefix")}
             for part in W.slices(batch.column("text")):
-                for doc_id, s in zip(ids[part.lo:part.hi], _sets(part, k)):
+                ids = batch.column("doc_id").slice(part.lo, part.hi - part.lo).to_pylist()
+                out: dict[str, list] = {c: [] for c in ("doc_id", "cls", "n", "asked", "prefix", "cells")}
+                for doc_id, s in zip(ids, _sets(part, k)):
                     n = len(s)
                     if n:
                         c = counts(s)
@@ -160,10 +162,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, shingles: np.ndarray, seen:
                         out["n"].append(n)
                         out["asked"].append(asked)
                         out["prefix"].append(s[order[:n - _required(n, percent) + asked]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["n"], pa.int64()),
-                 pa.array(out["asked"], pa.int32()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=list(out))
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, asked int, prefix array<bigint>")
+                        out["cells"].append(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out["doc_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["n"], pa.int64()),
+                     pa.array(out["asked"], pa.int32()), pa.array(out["prefix"], pa.list_(pa.int64())),
+                     pa.array(out["cells"], pa.list_(pa.int32()))], names=list(out))
+    return docs.mapInArrow(run, "doc_id long, cls long, n long, asked int, prefix array<bigint>, cells array<int>")
 
 
 def _can_link(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -200,21 +204,29 @@ def _fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
-            some = np.flatnonzero((bitmap[at >> 5] >> (at & 31)) & 1)
-            some = pa.array(some)
-            ids, texts = batch.column("doc_id").take(some), batch.column("text").take(some)
-            sets = [s for part in W.slices(texts) for s in _sets(part, k)]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cls", "shingles"])
+            some = pa.array(np.flatnonzero((bitmap[at >> 5] >> (at & 31)) & 1))
+            ids = batch.column("doc_id").take(some)
+            for part in W.slices(batch.column("text").take(some)):
+                sets = _sets(part, k)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(part.lo, part.hi - part.lo), pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cls", "shingles"])
     sets = picked.mapInArrow(run, "doc_id long, cls long, shingles binary")
     return (sets.join(wanted, (sets["cls"] == wanted["cls"]) & sets["doc_id"].eqNullSafe(wanted["rep"]))
             .select(sets["cls"], "shingles").dropDuplicates(["cls"]))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    pairs = store(pairs, "candidate-pairs")
+def _verify(docs: DataFrame, classes: DataFrame, cells: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity.
+
+    No cell of the hash space holds more shared shingles than the smaller of the two
+    counts there, so their sum bounds the overlap; pairs within it are verified on the sets.
+    """
+    bound = F.aggregate(F.zip_with("s", "t", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    size = lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + x)
+    pairs = store(pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("s")), "a")
+                  .join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("t")), "b")
+                  .where(_can_link(bound, size("s"), size("t"), percent)).select("a", "b"), "candidate-pairs")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = store(_fetch(docs, classes.select("cls", "rep").join(ends, "cls"), k), "candidate-sets")
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
@@ -243,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = store(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
     prefixes = _prefixes(docs, k, percent, *_frequent(docs, k, frequent))
     own = (prefixes.join(classes.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-           .select("cls", "n", "asked", "prefix").dropDuplicates(["cls"]))
+           .select("cls", "n", "asked", "prefix", "cells").dropDuplicates(["cls"]))
     own = store(own, "prefixes")
     postings = own.select("cls", "n", "asked", F.posexplode("prefix").alias("pos", "shingle"))
     member = F.struct("cls", "n", "asked", "pos")
@@ -251,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = store(postings.join(lists.drop("size"), "shingle").select("shingle", member.alias("y"), "x"), "postings")
 
     near = shared.where("x.cls != y.cls").where(_possible("x", "y", percent))
-    links = _verify(docs, classes, _promising(near, percent), k, percent)
+    links = _verify(docs, classes, own, _promising(near, percent), k, percent)
 
     groups = components(links, rounds=3)
     placed = (shared.select("shingle", F.col("y"), F.col("y.cls").alias("node")).join(groups, "node", "left")
@@ -267,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     swap = F.col("x.cls") > F.col("y.cls")
     cross = cross.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
                          F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
-    more = _verify(docs, classes, _promising(cross, percent), k, percent)
+    more = _verify(docs, classes, own, _promising(cross, percent), k, percent)
 
     roots = components(links.unionByName(more))
     named = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
