@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_spark.llm import (chat, decontaminate, jaccard_join, line_dedup, mixing, oracles, quality, substring_dedup,
+from ledger_spark.llm import (chat, decontaminate, jaccard_join, line_dedup, lm, mixing, oracles, quality, substring_dedup,
                                topk, toxicity)
 from ledger_spark.llm.common import remainder, table
 from ledger_spark.llm.registry import ORACLES, QUERIES, query
@@ -34,6 +34,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(docs, quality.score(F.col("text"), model), held_out)
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole text, by the network and by the add-one unigram base."""
+    return lm.score_texts(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 90 % of their 3-word shingles."""
