@@ -9,7 +9,8 @@ scans longer posting lists but fewer partners reach the count; the expected cost
 both decides.
 
 Candidates come in two steps.  First each shingle's posting list links its members
-to its smallest class only; verified links give first groups.  Then all members of a
+to one of them, the one that holds it earliest in its order (few rare shingles of its
+own: near the original, if the members are copies); verified links give first groups.  Then all members of a
 list that are still in different groups are paired, members of the list's largest
 group only with those outside it, under size and position bounds.  Only pairs that
 share enough prefix shingles and can still reach the overlap (by position, and by a
@@ -40,7 +41,7 @@ from ledger_spark.llm import words as W
 from ledger_spark.llm.common import store
 from ledger_spark.llm.components import components
 
-FREQUENT = 1 << 17          # shingles in the broadcast order
+FREQUENT = 1 << 19          # shingles in the broadcast order
 SLICE_SHINGLES = 1 << 21    # shingles counted together in a task
 MOST_MATCHES = 4
 PAIR_COST, VERIFY_COST = 1.0, 100.0
@@ -181,15 +182,24 @@ def _possible(x: str, y: str, percent: int) -> Column:
             & _can_link(F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1), n1, n2, percent))
 
 
-def _promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that share enough prefix shingles and can still reach the overlap, of rows (x, y) of postings."""
+def _promising(pairs: DataFrame, percent: int, every_match: bool) -> DataFrame:
+    """(a, b) that share enough prefix shingles and can still reach the overlap, of rows (x, y) of postings.
+
+    With ``every_match`` the rows hold all shingles that two prefixes share.  Of the
+    prefix that ends first in the global order nothing shared is then unseen but what
+    lies behind it, so the pair must share the rest of the overlap within the prefixes.
+    """
     grouped = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
         F.count("*").alias("shared"), F.max("x.n").alias("n1"), F.max("y.n").alias("n2"),
-        F.least(F.max("x.asked"), F.max("y.asked")).alias("asked"),
+        F.max("x.asked").alias("asked1"), F.max("y.asked").alias("asked2"),
         F.max("x.pos").alias("p1"), F.max("y.pos").alias("p2"))
-    rest = F.least(F.col("n1") - F.col("p1") - 1, F.col("n2") - F.col("p2") - 1)
-    return grouped.where((F.col("shared") >= F.col("asked"))
-                         & _can_link(F.col("shared") + rest, F.col("n1"), F.col("n2"), percent)).select("a", "b")
+    n1, n2, shared = F.col("n1"), F.col("n2"), F.col("shared")
+    behind = F.least(n1 - F.col("p1") - 1, n2 - F.col("p2") - 1)
+    good = (shared >= F.least("asked1", "asked2")) & _can_link(shared + behind, n1, n2, percent)
+    if every_match:
+        unseen = lambda n, asked: F.ceil(n * percent / 100.0 - 1e-9) - F.col(asked)
+        good = good & _can_link(shared + F.greatest(unseen(n1, "asked1"), unseen(n2, "asked2")), n1, n2, percent)
+    return grouped.where(good).select("a", "b")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -258,12 +268,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
            .select("cls", "n", "asked", "prefix", "cells").dropDuplicates(["cls"]))
     own = store(own, "prefixes")
     postings = own.select("cls", "n", "asked", F.posexplode("prefix").alias("pos", "shingle"))
-    member = F.struct("cls", "n", "asked", "pos")
+    member = F.struct("pos", "cls", "n", "asked")    # the least: the one with the fewest rare shingles before
     lists = postings.groupBy("shingle").agg(F.count("*").alias("size"), F.min(member).alias("x")).where("size > 1")
     shared = store(postings.join(lists.drop("size"), "shingle").select("shingle", member.alias("y"), "x"), "postings")
 
     near = shared.where("x.cls != y.cls").where(_possible("x", "y", percent))
-    links = _verify(docs, classes, own, _promising(near, percent), k, percent)
+    links = _verify(docs, classes, own, _promising(near, percent, False), k, percent)
 
     groups = components(links, rounds=3)
     placed = (shared.select("shingle", F.col("y"), F.col("y.cls").alias("node")).join(groups, "node", "left")
@@ -279,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     swap = F.col("x.cls") > F.col("y.cls")
     cross = cross.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
                          F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
-    more = _verify(docs, classes, own, _promising(cross, percent), k, percent)
+    more = _verify(docs, classes, own, _promising(cross, percent, True), k, percent)
 
     roots = components(links.unionByName(more))
     named = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
