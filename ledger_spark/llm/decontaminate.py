@@ -115,16 +115,8 @@ def find_hits(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_co
 
 def _verified(words: Column, bench: Benchmark) -> Column:
     """Within the limit: the hits whose words are a window of the benchmark, checked in place."""
-    grams = F.array_join
-    texts = {length: [" ".join(r["gram"]) for r in
-                      bench.table.where(F.size("gram") == length).select("gram").collect()]
-             for length in bench.by_length}
-    hits = _hits(words, bench)
-    test = None
-    for length, known in sorted(texts.items()):
-        one = lambda h, known=known, length=length: (F.size(h["gram"]) == length) & grams(h["gram"], " ").isin(known)
-        test = one if test is None else (lambda h, a=test, b=one: a(h) | b(h))
-    return F.filter(hits, test) if test else hits
+    known = [" ".join(row["gram"]) for row in bench.table.select("gram").collect()]
+    return F.filter(_hits(words, bench), lambda hit: F.array_join(hit["gram"], " ").isin(known))
 
 
 def remove_contaminated(docs: DataFrame, bench: Benchmark, mode: str = "documents",

@@ -89,7 +89,7 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  min_docs: int = 3, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(_ld_doc, _ld_drop: hashes of the keys whose lines that document loses)."""
     ids = docs.select(_doc(id_col).alias("doc"))
-    edges = ids.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
+    edges = ids.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     repeated = not ids.groupBy("doc").count().where("count > 1").isEmpty()
     batch = F.lit(0)
     for edge in edges:

@@ -67,11 +67,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0,
-             weight_col: str | None = None, seed: str = "mix") -> DataFrame:
-    """For each row: _mx_row, _mx_id, _mx_size, _mx_source_size, _mx_target, _mx_copies."""
+             weight_col: str | None = None, seed: str = "mix", row: Column | None = None) -> DataFrame:
+    """For each row (numbered by ``row``, or as read): _mx_row, _mx_id, _mx_size, _mx_source_size, _mx_target, _mx_copies."""
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = store(docs.select(
-        F.monotonically_increasing_id().alias("_mx_row"), F.col(id_col).alias("_mx_id"),
+        (F.monotonically_increasing_id() if row is None else row).alias("_mx_row"), F.col(id_col).alias("_mx_id"),
         F.col(source_col).alias("_mx_source"), weight.alias("_mx_weight"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_mx_size"),
         uniform(F.col(id_col), seed).alias("u")), "mix-rows")
@@ -127,10 +127,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once for each copy taken, with mix_copies and mix_copy (from 1).
 
-    The plan's row numbers name rows of ``docs`` as it is read, so ``docs`` must be
-    read in the same order twice, as a written table is.
+    The numbered rows are written first, so that the plan and the mix mean the same rows.
     """
-    plan = plan_mix(docs, **options).where(F.col("_mx_copies") > 0).select("_mx_row", "_mx_copies")
-    return (docs.withColumn("_mx_row", F.monotonically_increasing_id()).join(plan, "_mx_row")
+    numbered = store(docs.withColumn("_mx_row", F.monotonically_increasing_id()), "mix-documents")
+    plan = plan_mix(numbered, row=F.col("_mx_row"), **options).where(F.col("_mx_copies") > 0).select("_mx_row", "_mx_copies")
+    return (numbered.join(plan, "_mx_row")
             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies"))))
             .withColumnRenamed("_mx_copies", "mix_copies").drop("_mx_row"))
