@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from ledger_spark.operators import metrics as me
 from ledger_spark.operators.quantiles import exact_median
 from ledger_spark.operators.scan import blocked_running
-from ledger_spark.session import num_partitions
 from ledger_spark.operators.features import FEATURE_COLUMNS
 from ledger_spark.operators.prep import MISSING_STD_COLUMN, MISSING_STD_INDICATOR, MODEL_FEATURE_COLUMNS
 
@@ -98,6 +97,10 @@ def _preprocess_stage(train: DataFrame, standardize: bool,
     return SQLTransformer(statement=f"SELECT *, {select} FROM __THIS__")
 
 
+# Rows keep the node they have reached, so a pass need not ship the grown trees; results are the same.
+TREE_CACHE = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
+
+
 def _classifier(spec: ModelSpec, n_train: int):
     p = spec.params
     if spec.family == "logistic_regression":
@@ -113,7 +116,7 @@ def _classifier(spec: ModelSpec, n_train: int):
         return RandomForestClassifier(featuresCol="features", labelCol=LABEL, seed=SEED,
                                       numTrees=int(p.get("n_estimators", 100)), maxDepth=min(depth, 30),
                                       minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                                      featureSubsetStrategy=strategy)
+                                      featureSubsetStrategy=strategy, **TREE_CACHE)
     depth = p.get("max_depth") or 0
     if spec.family == "gbt_leafwise":
         leaves_depth = max(1, (int(p.get("num_leaves", 31)) - 1).bit_length())
@@ -122,24 +125,19 @@ def _classifier(spec: ModelSpec, n_train: int):
                          maxIter=int(p.get("n_estimators", 100)), maxDepth=int(depth or 3),
                          stepSize=float(p.get("learning_rate", 0.1)),
                          subsamplingRate=float(p.get("subsample", 1.0)),
-                         minInstancesPerNode=int(p.get("min_child_samples", 1)))
-
-
-ROWS_PER_TRAIN_PARTITION = 200_000
+                         minInstancesPerNode=int(p.get("min_child_samples", 1)), **TREE_CACHE)
 
 
 def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> PipelineModel:
     """Fit preprocessing + classifier on training rows with a ``label`` column.
 
-    Iterative solvers run one Spark job per pass; the training rows are held
-    in about one partition per 200k rows (never more than the input has), so
-    small fits are not dominated by task scheduling and large ones spread out.
+    Bagging draws by partition, so rows are dealt by a hash of their id and
+    sorted: the same rows give the same model wherever they were read from.
     """
     n = train.count()
-    wanted = max(1, -(-n // ROWS_PER_TRAIN_PARTITION))
-    parts = num_partitions(train)
-    if parts is not None and parts > wanted:
-        train = train.coalesce(wanted)
+    key = ["observation_id"] if "observation_id" in train.columns else [c for c in features if c in train.columns]
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    train = train.repartition(parts, *key).sortWithinPartitions(*key)
     pre = _preprocess_stage(train, spec.family == "logistic_regression", features)
     asm = VectorAssembler(inputCols=[_in(c) for c in features], outputCol="features")
     return Pipeline(stages=[pre, asm, _classifier(spec, n)]).fit(train)

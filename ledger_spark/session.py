@@ -107,25 +107,3 @@ def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
         name = "-".join(str(k).strip("/").replace("/", "_") for k in key)
         _MATERIALIZED[full_key] = write_table(build(), name)
     return _MATERIALIZED[full_key]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core before CPU-heavy per-row work.
-
-    Large inputs already have far more splits than cores and pass unchanged;
-    a small file with a handful of splits is spread round-robin so parsing
-    is not serialized on a few tasks.
-    """
-    parts = num_partitions(df)
-    if parts is None:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if parts < cores else df
-
-
-def num_partitions(df: DataFrame) -> int | None:
-    """Planned partition count, or None where the RDD view is unavailable (Spark Connect)."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return None

@@ -30,7 +30,7 @@ def write_longitudinal(tables: dict[str, DataFrame], out_dir: str, summary: Data
 
 def write_report_csv(df: DataFrame, path: str, decimals: int = REPORT_DECIMALS) -> None:
     """A report table as CSV with doubles at fixed precision."""
-    fixed = df.select(*[F.format_number(f.name, decimals).alias(f.name)
+    fixed = df.select(*[F.format_string(f"%.{decimals}f", f.name).alias(f.name)
                         if isinstance(f.dataType, DoubleType) else F.col(f.name)
                         for f in df.schema.fields])
     _iso_dates(fixed).write.mode("overwrite").option("header", True).csv(path)

@@ -65,9 +65,9 @@ def test_tree_importance_ranks(spark):
 
 def test_ledger_tags_and_locked_lookup(spark):
     runs = spark.createDataFrame([
-        ("r1", "candidate", lg.tags("baseline", "candidate", False)),
-        ("r2", "locked_final", lg.tags("final", "locked_final", True)),
-        ("r3", "candidate", {**lg.tags("tuned", "candidate", False), "patient_id": "x"}),
+        ("r1", "candidate", {"run_stage": "baseline"}),
+        ("r2", "locked_final", {"run_stage": "final", "test_consumed": "true"}),
+        ("r3", "candidate", {"run_stage": "tuned", "patient_id": "x"}),
     ], "run_id string, status string, tags map<string,string>")
     assert [r.run_id for r in lg.tag_policy_violations(runs).collect()] == ["r3"]
     assert lg.locked_run(runs) == "r2"
