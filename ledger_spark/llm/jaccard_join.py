@@ -41,7 +41,7 @@ from ledger_spark.llm import words as W
 from ledger_spark.llm.common import store
 from ledger_spark.llm.components import components
 
-FREQUENT = 1 << 19          # shingles in the broadcast order
+FREQUENT = 1 << 18          # shingles in the broadcast order
 SLICE_SHINGLES = 1 << 21    # shingles counted together in a task
 MOST_MATCHES = 4
 PAIR_COST, VERIFY_COST = 1.0, 100.0

@@ -6,7 +6,7 @@ its own).  Every n-gram of a view hashes to one of ``buckets`` weights and count
 its share of the view, so a score is a sparse dot product whatever the length.
 
 The fit takes a bounded sample of labelled rows (``rows_per_class``, ``longest``) to
-the driver; weights go out with the scoring function (``buckets`` doubles).
+one task; weights go out with the scoring function (``buckets`` doubles).
 
 Edge cases: a null or empty text has no n-grams and gets the bias' score; without
 labelled rows every score is 0.5; ties and repeated rows score alike; extra columns
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm import words as W
-from ledger_spark.llm.labels import labelled_sample
+from ledger_spark.llm.labels import fit_on_sample
 
 BUCKETS = 1 << 18
 ROWS_PER_CLASS = (2500, 2500)     # of label 0, of label 1
@@ -122,7 +122,8 @@ def fit(texts: pa.Array, labels: list[int], buckets: int = BUCKETS, epochs: int
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", rows_per_class: tuple[int, int] = ROWS_PER_CLASS, longest: int = LONGEST, **options) -> Model:
     """A model from the labelled rows that ``learn`` admits."""
-    return fit(*labelled_sample(docs, labels, label, learn, rows_per_class, longest, id_col, text_col), **options)
+    return fit_on_sample(docs, labels, label, learn, rows_per_class, longest, id_col, text_col,
+                         lambda texts, marks: fit(texts, marks, **options))
 
 
 def score(text: Column, model: Model) -> Column:

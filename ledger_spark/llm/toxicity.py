@@ -7,7 +7,7 @@ over the positions pools a window and a logistic unit scores it.  A document's s
 is that of its highest window, so a passage counts the same in a long text.
 
 The fit takes a bounded sample of labelled rows (``rows_per_class``, ``longest``) to
-the driver.  At first each window has its row's label; then a row of label 1 teaches
+one task.  At first each window has its row's label; then a row of label 1 teaches
 by its highest window and those above one half only, for its other windows are like
 any.  The model goes out with the scoring function (about two megabytes).
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm import words as W
-from ledger_spark.llm.labels import labelled_sample
+from ledger_spark.llm.labels import fit_on_sample
 
 SPAN, STRIDE = 32, 16
 ROWS_PER_CLASS = (3000, 1500)     # of label 0, of label 1
@@ -316,7 +316,8 @@ def fit(texts: pa.Array, labels: list[int], epochs: int = 4, batch: int = 128, r
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_col: str = "doc_id",
           text_col: str = "text", rows_per_class: tuple[int, int] = ROWS_PER_CLASS, longest: int = LONGEST, **options) -> Model:
     """A model from the labelled rows that ``learn`` admits."""
-    return fit(*labelled_sample(docs, labels, label, learn, rows_per_class, longest, id_col, text_col), **options)
+    return fit_on_sample(docs, labels, label, learn, rows_per_class, longest, id_col, text_col,
+                         lambda texts, marks: fit(texts, marks, **options))
 
 
 def score(text: Column, model: Model) -> Column:
