@@ -136,13 +136,14 @@ def remove_contaminated(docs: DataFrame, bench: Benchmark, mode: str = "document
         if mode == "spans":
             raise ValueError("spans need a benchmark within the broadcast limit")
         return marked.join(hit, "_dc_row", "left_anti").drop("_dc_row")
-    words = word_array(F.col(text_col))
-    hits = _verified(words, bench)
+    # the row number keeps the split words a column: a filter below it would split anew for every window
+    scanned = docs.select("*", F.monotonically_increasing_id().alias("_dc_row"), word_array(F.col(text_col)).alias("_dc_words"))
+    hits = _verified(F.col("_dc_words"), bench)
     if mode == "documents":
-        return docs.where(F.size(hits) == 0)
+        return scanned.where((F.size(hits) == 0) & (F.col("_dc_row") >= 0)).drop("_dc_row", "_dc_words")
     positions = F.array_distinct(F.flatten(F.transform(
         hits, lambda h: F.sequence(h["start"], h["start"] + F.size(h["gram"]) - 1))))
-    scanned = docs.withColumn("_dc_positions", positions)
+    scanned = scanned.withColumn("_dc_positions", positions).drop("_dc_row", "_dc_words")
     ink = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all(text_col, F.lit(f"({gap}{ink})"), F.lit(1))
