@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledger_spark.llm import words as W
@@ -175,11 +175,11 @@ def _can_link(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (n1 + n2) * percent
 
 
-def _possible(x: str, y: str, percent: int) -> Column:
-    """Size and position bounds of two postings of one shingle."""
+def _possible(x: str, y: str, percent: int, before: str = "pos") -> Column:
+    """Size and position bounds of two postings of one shingle; ``before``: how many earlier shingles they can share."""
     n1, n2, p1, p2 = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
     return ((F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent)
-            & _can_link(F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1), n1, n2, percent))
+            & _can_link(F.least(f"{x}.{before}", f"{y}.{before}") + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1), n1, n2, percent))
 
 
 def _promising(pairs: DataFrame, percent: int, every_match: bool) -> DataFrame:
@@ -280,12 +280,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
               .select("shingle", "y", F.coalesce("root", "node").alias("grp")))
     sizes = placed.groupBy("shingle", "grp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("grp", F.struct("c", "grp")).alias("main"))
-    open_lists = store(placed.join(mixed.where("groups > 1").drop("groups"), "shingle"), "open-postings")
+    # what two texts of different groups share before a shingle lies in open lists as well
+    rank = F.row_number().over(Window.partitionBy("y.cls").orderBy("y.pos")) - 1
+    open_lists = store(placed.join(mixed.where("groups > 1").drop("groups"), "shingle")
+                       .withColumn("y", F.col("y").withField("before", rank)), "open-postings")
     left = open_lists.where("grp != main").select("shingle", F.col("y").alias("x"), F.col("grp").alias("g"))
     right = open_lists.select("shingle", "y", F.col("grp").alias("h"), "main")
     cross = (left.join(right, "shingle").where("g != h")
              .where((F.col("h") == F.col("main")) | (F.col("x.cls") < F.col("y.cls")))
-             .where(_possible("x", "y", percent)))
+             .where(_possible("x", "y", percent, "before")))
     swap = F.col("x.cls") > F.col("y.cls")
     cross = cross.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
                          F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
