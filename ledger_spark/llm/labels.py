@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledger_spark.llm.words import release
+
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_class: tuple[int, int],
                   longest: int, id_col: str, text_col: str, fit: Callable[[pa.Array, list[int]], object]):
@@ -32,7 +34,9 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_label", "ascending"), ("_text", "ascending")])
         texts = pa.array(rows.column("_text").to_pylist(), pa.string())
-        return pa.table({"model": pa.array([pickle.dumps(fit(texts, rows.column("_label").to_pylist()))], pa.binary())})
+        model = pickle.dumps(fit(texts, rows.column("_label").to_pylist()))
+        release()
+        return pa.table({"model": pa.array([model], pa.binary())})
 
     fitted = parts[0].unionByName(parts[1]).groupBy().applyInArrow(run, "model binary").collect()
     return pickle.loads(fitted[0]["model"]) if fitted else fit(pa.array([], pa.string()), [])

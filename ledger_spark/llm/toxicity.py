@@ -36,6 +36,7 @@ WIDTH, HIDDEN, ATTENTION = 16, 8, 8
 CALIBRATION = 4             # one in so many rows of the sample sets the scale of the scores
 PLAIN_EPOCHS = 1            # first, every window has its row's label
 LEAST_ROWS = 40             # a word with its own embedding occurs in so many texts of the sample
+FIT_BYTES = 2 << 20         # text that a pass takes its windows from at a time
 BLOCK = 1024                # windows that run through the network together
 
 Params = dict[str, np.ndarray]
@@ -254,7 +255,7 @@ def fit(texts: pa.Array, labels: list[int], epochs: int = 4, batch: int = 128, r
     y = np.array(labels, np.float32)[mixed]
     texts = texts.take(pa.array(mixed))
     held = len(y) // CALIBRATION if len(y) >= 10 * CALIBRATION else 0
-    parts = list(W.slices(texts[held:], blank=W.NOT_LETTERS))
+    parts = list(W.slices(texts[held:], FIT_BYTES, W.NOT_LETTERS))
     tuned, y = y[:held].astype(np.float64), y[held:]
     seen: dict[int, int] = {}
     for part in parts:
