@@ -110,10 +110,10 @@ def _frequent(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarra
         if total > most:
             break
         least = row["level"]
-    found = seen.where(F.col("level") >= least).select("shingle", "seen").toPandas()
-    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    found = seen.where(F.col("level") >= least).select("shingle", "seen").toArrow()
+    shingles = found.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], found["seen"].to_numpy(np.int64)[order]
+    return shingles[order], found.column("seen").to_numpy()[order]
 
 
 def _required(n: int, percent: int) -> int:
@@ -206,9 +206,9 @@ def _fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cls, shingles) of the wanted (cls, rep): a bitmap of fixed size picks rows in the scan, a join the right ones."""
     slot = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
     cells = (wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("cell"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toPandas())
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toArrow())
     bitmap = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
     picked = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
