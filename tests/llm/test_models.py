@@ -120,6 +120,38 @@ def test_language_model_base(spark):
     assert all(r.train_tokens == total and r.score < 0 for r in got)
 
 
+def test_language_model_learns_from_every_window(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words, n)) for n in [*rng.integers(1, 2000, 200).tolist(), 30_000]] + ["", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    ranks = lm.read_ranks(lm.VOCABULARY, lm.IDS)
+    encode, end = lm.encoder(ranks), len(ranks)
+    want = collections.Counter()
+    for text in texts:
+        tokens = np.append(np.frombuffer(b"".join(encode(w) for w in text.encode().split()), np.int16), end)
+        ids, targets, _ = lm.windows_of(tokens, np.array([len(tokens)]), end)
+        want.update(w.tobytes() for w in np.concatenate([ids, targets], 1).astype(np.int16))
+    counts, trained = lm.word_counts(docs.select("text")), []
+
+    def keep(p, data, *_):
+        trained.append(data)
+        return p
+    monkeypatch.setattr(lm, "adam", keep)
+    one = type(docs).mapInArrow
+
+    def here(self, func, schema):           # the training tasks run in this process
+        if schema != "weights array<double>":
+            return one(self, func, schema)
+        parts = [pa.Table.from_batches([b]).to_batches() for b in self.toArrow().to_batches()]
+        rows = [w for part in parts for b in func(iter(part)) for w in b.column("weights").to_pylist()]
+        return spark.createDataFrame([(r,) for r in rows], schema)
+    monkeypatch.setattr(type(docs), "mapInArrow", here)
+    lm.fit(docs, counts, len(texts), ranks)
+    got = collections.Counter(w.tobytes() for data in trained for w in data)
+    assert got == want and sum(want.values()) > lm.SHARD_WINDOWS * lm.ROUNDS
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
