@@ -1,10 +1,16 @@
 """Follow-up cases as a Structured Streaming fold.
 
-Events arrive as a stream; per prescription number the same rules as the
-batch fold (``operators.cases``) are applied with ``applyInPandasWithState``.
-The state holds the open case and the last applied ``(ts, event_id)``, so a
-replayed or late-duplicated event is a no-op.  Micro-batches are bounded by
-the source's ``maxFilesPerTrigger``, which bounds what one group sees at once.
+Events arrive as a stream, in any order (``run_case_stream``).  Each micro-batch
+writes the events it brings that are not stored yet, then folds the
+prescriptions of those events anew, from all their stored events, with the batch
+fold (``operators.cases``); a replay is a no-op, a late event takes its place in
+time.  An event is known by ``(rx_number, ts, event_id)``; one without an id is
+never taken for a replay.  Each micro-batch has folders of its own, which a
+retry overwrites.
+
+``case_updates`` is the cheaper fold with ``applyInPandasWithState`` for events
+that reach each prescription in time order: its state holds the open case and
+the last applied ``(ts, event_id)``, and what is not above that counts as a replay.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledger_spark.functions.rules import LOCKED_THRESHOLD, PRIORITY_BANDS
+from ledger_spark.operators.cases import build_workflow
 from ledger_spark.session import ensure_checkpoint_dir
 from ledger_spark.sources import derive
 
@@ -28,6 +35,11 @@ CASE_SCHEMA = (
     "last_evaluated_at timestamp_ntz, resolved_at timestamp_ntz, initial_prediction_id string, "
     "latest_prediction_id string, positive_predictions long, update_seq long"
 )
+EVENT_SCHEMA = (
+    "event_id long, ts timestamp_ntz, rx_number string, kind string, renewal_probability double, "
+    "days_until_supply_end int"
+)
+EVENT_KEY = ("rx_number", "ts", "event_id")
 STATE_SCHEMA = (
     "case_seq long, is_open boolean, priority string, prob double, days int, opened_at timestamp_ntz, "
     "last_at timestamp_ntz, initial_id string, latest_id string, n long, "
@@ -89,7 +101,7 @@ def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 
 
 def case_updates(events: DataFrame) -> DataFrame:
-    """Streaming (or batch) workflow events -> case rows updated per micro-batch."""
+    """Streaming (or batch) workflow events in time order per prescription -> case rows updated per micro-batch."""
     return events.groupBy("rx_number").applyInPandasWithState(
         _fold_group, CASE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
@@ -97,21 +109,37 @@ def case_updates(events: DataFrame) -> DataFrame:
 def workflow_event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """``events`` read as a file stream and mapped like ``derive.workflow_events``."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-           .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/events*.parquet")
     return derive.workflow_events_from(raw)
 
 
+def _refold(batch: DataFrame, batch_id: int, root: str) -> None:
+    """Store the new events of a micro-batch and the cases of their prescriptions."""
+    spark = batch.sparkSession
+    stored = spark.read.schema(f"{EVENT_SCHEMA}, batch long").parquet(f"{root}/events")
+    once = batch.where("event_id IS NOT NULL").dropDuplicates(list(EVENT_KEY)).unionByName(batch.where("event_id IS NULL"))
+    (once.join(stored.where(F.col("batch") < batch_id), list(EVENT_KEY), "left_anti").select(*stored.drop("batch").columns)
+     .write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}"))
+    stored = spark.read.schema(f"{EVENT_SCHEMA}, batch long").parquet(f"{root}/events").where(F.col("batch") <= batch_id)
+    touched = stored.where(F.col("batch") == batch_id).select("rx_number").distinct()
+    cases = build_workflow(stored.drop("batch").join(touched, "rx_number", "left_semi")).cases
+    cases.write.mode("overwrite").parquet(f"{root}/cases/batch={batch_id}")
+
+
 def run_case_stream(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
     """Run the stream to completion (available-now) into Parquet; return the latest case rows."""
     root = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/cases-{uuid.uuid4().hex[:8]}"
-    updates = case_updates(workflow_event_stream(spark, sf_dir))
-    query = (updates.writeStream.outputMode("update")
-             .foreachBatch(lambda df, _id: df.write.mode("append").parquet(f"{root}/data"))
+    case_schema = CASE_SCHEMA.removesuffix(", update_seq long")
+    for name, schema in (("events", EVENT_SCHEMA), ("cases", case_schema)):     # so that both folders can be read
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}/batch=-1")
+    query = (workflow_event_stream(spark, sf_dir).writeStream
+             .foreachBatch(lambda df, batch_id: _refold(df, batch_id, root))
              .option("checkpointLocation", f"{root}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return latest_cases(spark.read.parquet(f"{root}/data"))
+    cases = spark.read.schema(f"{case_schema}, batch long").parquet(f"{root}/cases")
+    last = cases.groupBy("rx_number").agg(F.max("batch").alias("batch"))
+    return cases.join(last, ["rx_number", "batch"], "left_semi").drop("batch")
 
 
 def latest_cases(updates: DataFrame) -> DataFrame:
