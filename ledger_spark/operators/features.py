@@ -80,12 +80,22 @@ def _flag(cond: Column) -> Column:
 
 
 def prepare_fills(fills: DataFrame) -> DataFrame:
-    """Dates as calendar days; rows without a history key cannot be ordered (F1)."""
+    """Dates as calendar days; rows without a history key cannot be ordered (F1), ``fill_issues`` returns them."""
     return (fills.withColumn("fill_date", F.to_date("fill_date"))
             .filter(F.col("patient_id").isNotNull() & F.col("medication_id").isNotNull())
             .withColumn("fill_day", _day("fill_date")))
 
 
+def fill_issues(fills: DataFrame, prescriptions: DataFrame) -> DataFrame:
+    """One row per fill that cannot become a candidate, with the reason: no history key, or an unknown prescription."""
+    known = prescriptions.select("prescription_id", F.lit(True).alias("_known")).distinct()
+    issue = (F.when(F.col("patient_id").isNull(), "missing_patient")
+             .when(F.col("medication_id").isNull(), "missing_medication")
+             .when(F.col("_known").isNull(), "unknown_prescription"))
+    return (fills.join(known, "prescription_id", "left").withColumn("issue", issue).filter("issue IS NOT NULL")
+            .select("fill_id", "patient_id", "medication_id", "prescription_id", "fill_date", "issue"))
+
+
 def with_next_fill_date(prepared: DataFrame) -> DataFrame:
     """``next_fill_date`` = lead(fill_date) in history order, walked in day blocks (F1)."""
     return blocked_running(prepared, list(HISTORY_KEY), "fill_day", ["fill_date", "fill_id"],
@@ -259,7 +269,11 @@ def candidate_features(fills: DataFrame, prescriptions: DataFrame, lead_days: in
     asks = f.select("prescription_id", "patient_id", "ndc").join(rx_dates, "prescription_id", "inner")
     nxt = next_prescription_day(asks, rx)
     feats = history_features(f)
-    feats = feats.join(rx_dates, "prescription_id", "inner")    # F12: unknown Rx has no row
+    # an unknown prescription raises, as in the reference
+    unknown = F.raise_error(F.concat(F.lit("Unknown prescription of fill "), F.coalesce("fill_id", F.lit("NULL")),
+                                     F.lit("; fill_issues lists all such fills.")))
+    feats = feats.join(rx_dates.withColumn("_known", F.lit(True)), "prescription_id", "left").withColumn(
+        "cur_rx_day", F.when(F.col("_known").isNull(), unknown.cast("int")).otherwise(F.col("cur_rx_day"))).drop("_known")
     feats = feats.join(nxt, ["patient_id", "ndc", "cur_rx_day"], "left")
 
     end_day = F.col("fill_day") + F.col("days_supply")

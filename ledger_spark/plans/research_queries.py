@@ -57,6 +57,14 @@ def f_prepared_fills(spark, sf_dir):
                       "refill_number", "refills_remaining", "days_supply", "next_fill_date")
 
 
+@register("f_fill_issues")
+def f_fill_issues(spark, sf_dir):
+    """Fills that are in no history or of an unknown prescription, with the reason."""
+    f = fills(spark, sf_dir)
+    every = f.unionByName(derive.keyless_fills(spark, sf_dir), allowMissingColumns=True)
+    return fe.fill_issues(every, derive.prescriptions(f))
+
+
 @register("f_observations", observations_sql(LABEL_AFTER_DAYS), OBS_DOUBLES,
           dates=("observation_date", "expected_supply_end_date"))
 def f_observations(spark, sf_dir):

@@ -147,20 +147,13 @@ def ordering(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
     return li.select(*[exprs[c].alias(c) for c in cols])
 
 
-def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fill history: every line item is a fill of (customer, part type).
-
-    The rank ``n`` of a fill in its history (by fill date, then fill id) sets
-    the prescription (``n div 3``) and refill counters.  The rank is a blocked
-    running count (see ``operators.scan``) over (day, fill-id prefix) blocks, so
-    a very long history -- or a very busy day of one -- is never ranked in a
-    single task.
-    """
+def fill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a fill of (customer, part type), also those without a patient or medication."""
     wanted = {"patient_id", "drug_name", "insurance_name"}
     li = _lineitem_with(spark, sf_dir, wanted, None, "p_type")
     insurance_name, bin_number = _insurer(li)
     days = F.array(*[F.lit(d) for d in DAYS_SUPPLY_BY_LINE])
-    base = li.select(
+    return li.select(
         _record_key().alias("fill_id"),
         F.to_date("l_shipdate").alias("fill_date"),
         F.concat(F.lit("PT-"), F.col("o_custkey").cast("string")).alias("patient_id"),
@@ -169,7 +162,24 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("double").alias("quantity_billed"),
         F.element_at(days, F.col("l_linenumber")).cast("int").alias("days_supply"),
         insurance_name, bin_number,
-    ).filter(F.col("patient_id").isNotNull() & F.col("medication_id").isNotNull())
+    )
+
+
+def keyless_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fills without a patient or medication: in no history, reported by ``features.fill_issues``."""
+    return fill_rows(spark, sf_dir).filter(F.col("patient_id").isNull() | F.col("medication_id").isNull())
+
+
+def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill history: every line item with a patient and a medication.
+
+    The rank ``n`` of a fill in its history (by fill date, then fill id) sets
+    the prescription (``n div 3``) and refill counters.  The rank is a blocked
+    running count (see ``operators.scan``) over (day, fill-id prefix) blocks, so
+    a very long history -- or a very busy day of one -- is never ranked in a
+    single task.
+    """
+    base = fill_rows(spark, sf_dir).filter(F.col("patient_id").isNotNull() & F.col("medication_id").isNotNull())
     # blocks: (day, first characters of the fill id) -- monotone in (fill_date, fill_id)
     base = base.withColumn("_blk", F.struct(F.unix_date("fill_date").alias("d"),
                                             F.substring("fill_id", 1, 3).alias("p")))

@@ -36,6 +36,30 @@ def test_prediction_date_is_ten_days_before_supply_end(spark):
     assert rows[0].observation_date == D("2026-01-21")
 
 
+def test_fills_without_key_or_prescription_are_issues(spark):
+    base = (D("2026-01-01"), 30.0, 30, 0, 0)
+    f, rx = _case(spark, extra_fills=[("F2", None, "RX-A", "M", "N", *base), ("F3", "P", "RX-A", None, "N", *base),
+                                      ("F4", "P", "RX-X", "M", "N", *base), ("F5", "P", None, "M", "N", *base)])
+    issues = {r.fill_id: r.issue for r in fe.fill_issues(f, rx).collect()}
+    assert issues == {"F2": "missing_patient", "F3": "missing_medication",
+                      "F4": "unknown_prescription", "F5": "unknown_prescription"}
+    with pytest.raises(Exception, match="Unknown prescription of fill F4"):
+        fe.supply_end_candidates(f.filter("fill_id IN ('F1', 'F4')"), rx, "2026-03-01").collect()
+
+
+def test_derived_fills_without_a_patient_are_reported(spark, tmp_path, sf_dir):
+    from ledger_spark.plans import REGISTRY
+    for name in ("lineitem", "orders", "customer", "part", "supplier", "nation", "region"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "orders":
+            lost = df.orderBy("o_orderkey").first().o_orderkey
+            df = df.filter(F.col("o_orderkey") != lost)
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = REGISTRY["f_fill_issues"].build(spark, str(tmp_path)).collect()
+    want = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_orderkey") == lost).count()
+    assert len(got) == want > 0 and {r.issue for r in got} == {"missing_patient"}
+
+
 @pytest.mark.parametrize(("renewal", "ndc", "target"), [
     ("2026-02-07", "90000000999", 1),   # +7 days, inclusive
     ("2026-02-08", "90000000999", 0),   # beyond the window
