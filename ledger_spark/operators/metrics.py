@@ -49,6 +49,20 @@ def classification_columns(tp: Column, fp: Column, tn: Column, fn: Column) -> li
     ]
 
 
+OUTCOMES = ("TN", "FP", "FN", "TP")
+
+
+def confusion_contract(df: DataFrame, expected: dict[str, int], threshold: float = LOCKED_THRESHOLD,
+                       label: str = "label", score: str = "score") -> dict[str, int]:
+    """The four outcome counts, 0 where there are none; raises if they differ from the recorded ones."""
+    row = confusion(df, [], threshold, label, score).first()
+    names = ("true_negatives", "false_positives", "false_negatives", "true_positives")
+    counts = {o: int(row[n] or 0) if row else 0 for o, n in zip(OUTCOMES, names)}
+    if counts != {o: expected.get(o, 0) for o in OUTCOMES}:
+        raise RuntimeError(f"Locked confusion matrix mismatch: {counts}")
+    return counts
+
+
 def confusion(df: DataFrame, keys: Sequence[str], threshold: float = LOCKED_THRESHOLD,
               label: str = "label", score: str = "score") -> DataFrame:
     """TN / FP / FN / TP at ``score >= threshold`` plus J2 metrics per group."""

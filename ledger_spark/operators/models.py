@@ -10,6 +10,7 @@ leaf-wise growth becomes a depth limit.
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -174,20 +175,25 @@ def compare(specs: Sequence[ModelSpec], split_df: DataFrame, threads: int = 4,
     return out
 
 
+def model_scores(specs: Sequence[ModelSpec], split_df: DataFrame, fitter=None) -> DataFrame:
+    """Rows of every split scored by each spec fitted on train, stacked with ``model_name``."""
+    train = split_df.filter(F.col("split") == "train")
+    out = None
+    for spec in specs:
+        scored = score((fitter or fit)(spec, train), split_df).withColumn("model_name", F.lit(spec.name))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def sample_params(family: str, trials: int, seed: int = SEED) -> list[dict]:
-    """Seeded draws from the discrete grid."""
-    rng = random.Random(seed)
+    """Seeded distinct draws from the discrete grid; all of a grid that has no more than ``trials`` points."""
     grid = SEARCH_GRIDS[family]
-    return [{k: rng.choice(v) for k, v in grid.items()} for _ in range(trials)]
-
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return random.Random(seed).sample(points, min(trials, len(points)))
 
-def randomized_search(family: str, name: str, train_folds: DataFrame, trials: int | None = None,
-                      threads: int = 4) -> DataFrame:
-    """Mean AP over expanding time folds for each sampled configuration.
 
-    ``train_folds`` carries ``position`` and ``validation_fold`` (H9): fold k fits
-    on positions before its validation rows.  Fits run from a driver thread pool.
-    """
+def _search(family: str, name: str, train_folds: DataFrame, trials: int | None, threads: int,
+            features: Sequence[str]) -> list[tuple[dict, float]]:
     draws = sample_params(family, trials or SEARCH_TRIALS[family])
     folds = [r[0] for r in train_folds.select("validation_fold").distinct()
              .filter("validation_fold > 0").orderBy("validation_fold").collect()]
@@ -198,16 +204,50 @@ def randomized_search(family: str, name: str, train_folds: DataFrame, trials: in
             val = train_folds.filter(F.col("validation_fold") == k)
             start = val.agg(F.min("position")).first()[0]
             fit_rows = train_folds.filter(F.col("position") < start)
-            model = fit(ModelSpec(name, family, params), fit_rows)
+            model = fit(ModelSpec(name, family, params), fit_rows, features)
             ap = me.ranking_metrics(score(model, val), []).first()["pr_auc"]
             aps.append(ap if ap is not None else 0.0)
         return params, sum(aps) / len(aps)
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        results = list(pool.map(evaluate, draws))
-    spark = train_folds.sparkSession
+        return list(pool.map(evaluate, draws))
+
+
+def randomized_search(family: str, name: str, train_folds: DataFrame, trials: int | None = None,
+                      threads: int = 4, features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> DataFrame:
+    """Mean AP over expanding time folds for each sampled configuration.
+
+    ``train_folds`` carries ``position`` and ``validation_fold`` (H9): fold k fits
+    on positions before its validation rows.  Fits run from a driver thread pool.
+    """
+    results = _search(family, name, train_folds, trials, threads, features)
     rows = [(name, i, str(sorted(p.items())), float(ap)) for i, (p, ap) in enumerate(results)]
-    return spark.createDataFrame(rows, "model_name string, trial int, params string, cv_pr_auc double")
+    return train_folds.sparkSession.createDataFrame(
+        rows, "model_name string, trial int, params string, cv_pr_auc double")
+
+
+def tune_models(split_df: DataFrame, train_folds: DataFrame, trials: dict[str, int] | None = None, threads: int = 4,
+                features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> DataFrame:
+    """Search each family, refit its best configuration on all of train, evaluate train and validation.
+
+    ``trials``: searches per family, default ``SEARCH_TRIALS``; of equal scores the earlier trial is best.
+    """
+    train = split_df.filter(F.col("split") == "train")
+    fit_on = split_df.filter(F.col("split").isin("train", "validation"))
+    out = None
+    for spec in BASELINE_SPECS:
+        n = (trials or SEARCH_TRIALS).get(spec.family)
+        if n is None:
+            continue
+        results = _search(spec.family, spec.name, train_folds, n, threads, features)
+        best, ap = max(results, key=lambda r: r[1])
+        model = fit(ModelSpec(spec.name, spec.family, best), train, features)
+        scored = score(model, fit_on).withColumn("model_name", F.lit(spec.name))
+        part = me.evaluation_summary(scored, ["model_name", "split"]).select(
+            "*", F.lit(len(results)).alias("trials"), F.lit(float(ap)).alias("best_cv_pr_auc"),
+            F.lit(str(sorted(best.items()))).alias("best_parameters"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def coefficient_table(model: PipelineModel, features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> DataFrame:

@@ -89,3 +89,39 @@ def test_entry_contract(spark):
     assert df.count() > 0 and "status" in df.columns
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 70
+
+
+def test_draws_are_distinct_in_every_family():
+    for family, trials in mo.SEARCH_TRIALS.items():
+        draws = [tuple(sorted(d.items(), key=str)) for d in mo.sample_params(family, trials)]
+        assert len(set(draws)) == len(draws) == trials
+    assert len(mo.sample_params("logistic_regression", 99)) == 14
+
+
+def test_tuning_refits_the_best_trial_of_each_family(spark, monkeypatch):
+    from ledger_spark.operators import prep
+    rows = [(*r, "validation" if i % 4 == 3 else "train", i, int(i >= 100))
+            for i, r in enumerate(_train(spark, 200).collect())]
+    data = spark.createDataFrame(rows, "patient_id string, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
+                                 + ", label double, split string, position long, validation_fold int")
+    monkeypatch.setitem(mo.SEARCH_GRIDS, "random_forest", {"n_estimators": [2], "max_depth": [2, 3]})
+    monkeypatch.setitem(mo.SEARCH_GRIDS, "logistic_regression", {"C": [0.01, 1], "penalty": ["l2"]})
+    folds, trials, found = data.filter("split = 'train'"), {"random_forest": 2, "logistic_regression": 2}, []
+    search = mo._search
+    monkeypatch.setattr(mo, "_search", lambda *a: found.append(search(*a)) or found[-1])
+    got = mo.tune_models(data, folds, trials, features=prep.REDUCED_FEATURE_COLUMNS).collect()
+    names = ("Logistic Regression", "Random Forest")
+    assert sorted((r.model_name, r.split) for r in got) == [(m, s) for m in names for s in ("train", "validation")]
+    for name, results in zip(names, found):
+        best, ap = max(results, key=lambda r: r[1])
+        assert len(results) == 2 and {(r.trials, r.best_cv_pr_auc, r.best_parameters) for r in got if r.model_name == name} == {
+            (2, ap, str(sorted(best.items())))}
+
+
+def test_confusion_contract(spark):
+    from ledger_spark.operators import metrics as me
+    df = spark.createDataFrame([(1.0, 0.9), (0.0, 0.1), (0.0, 0.2)], "label double, score double")
+    assert me.confusion_contract(df, {"TN": 2, "TP": 1}) == {"TN": 2, "FP": 0, "FN": 0, "TP": 1}
+    assert me.confusion_contract(df.limit(0), {}) == dict.fromkeys(me.OUTCOMES, 0)
+    with pytest.raises(RuntimeError, match="mismatch"):
+        me.confusion_contract(df, {"TN": 3})
