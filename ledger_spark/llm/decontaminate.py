@@ -90,8 +90,8 @@ def _hits(words: Column, bench: Benchmark) -> Column:
     return F.coalesce(F.flatten(F.array(*[F.coalesce(f, empty) for f in found])), empty)
 
 
-def find_hits(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, n_words, n_hit (words inside a window), item_ids (sorted strings), contaminated."""
+def _found(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """One row per document row: _dc_row, _dc_id, n_words, spans, items; and the covered word positions as a column of it."""
     scanned = (docs.select(F.monotonically_increasing_id().alias("_dc_row"), F.col(id_col).alias("_dc_id"),
                            word_array(F.col(text_col)).alias("words"))
                .select("_dc_row", "_dc_id", F.size("words").cast("long").alias("n_words"),
@@ -106,6 +106,12 @@ def find_hits(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_co
         F.collect_set(real).alias("spans"), F.collect_set("item_ids").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
+    return grouped, covered
+
+
+def find_hits(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: id, n_words, n_hit (words inside a window), item_ids (sorted strings), contaminated."""
+    grouped, covered = _found(docs, bench, id_col, text_col)
     return grouped.select(
         F.col("_dc_row"), F.col("_dc_id").alias(id_col), "n_words",
         F.size(covered).cast("long").alias("n_hit"),
@@ -131,10 +137,10 @@ def remove_contaminated(docs: DataFrame, bench: Benchmark, mode: str = "document
     if not bench.small:
         rows = docs.withColumn("_dc_row", F.monotonically_increasing_id())
         marked = store(rows, "decontaminate-rows")
-        hits = find_hits(marked.withColumn("_dc_key", F.col("_dc_row")), bench, "_dc_key", text_col)
-        hit = hits.where("contaminated").select(F.col("_dc_key").alias("_dc_row"))
+        grouped, covered = _found(marked, bench, "_dc_row", text_col)
+        hit = grouped.where(F.size("spans") > 0).select(F.col("_dc_id").alias("_dc_row"), covered.alias("_dc_positions"))
         if mode == "spans":
-            raise ValueError("spans need a benchmark within the broadcast limit")
+            return _without(marked.join(hit, "_dc_row", "left").drop("_dc_row"), text_col)
         return marked.join(hit, "_dc_row", "left_anti").drop("_dc_row")
     # the row number keeps the split words a column: a filter below it would split anew for every window
     scanned = docs.select("*", F.monotonically_increasing_id().alias("_dc_row"), word_array(F.col(text_col)).alias("_dc_words"))
@@ -143,12 +149,16 @@ def remove_contaminated(docs: DataFrame, bench: Benchmark, mode: str = "document
         return scanned.where((F.size(hits) == 0) & (F.col("_dc_row") >= 0)).drop("_dc_row", "_dc_words")
     positions = F.array_distinct(F.flatten(F.transform(
         hits, lambda h: F.sequence(h["start"], h["start"] + F.size(h["gram"]) - 1))))
-    scanned = scanned.withColumn("_dc_positions", positions).drop("_dc_row", "_dc_words")
+    return _without(scanned.withColumn("_dc_positions", positions).drop("_dc_row", "_dc_words"), text_col)
+
+
+def _without(docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts without the words at ``_dc_positions``."""
     ink = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all(text_col, F.lit(f"({gap}{ink})"), F.lit(1))
     kept = F.filter(pieces, lambda _, i: ~F.array_contains("_dc_positions", i))
     tail = F.regexp_extract(text_col, f"({gap})$", 1)
     cleaned = F.concat(F.array_join(kept, ""), tail)
-    return scanned.withColumn(text_col, F.when(F.size("_dc_positions") > 0, cleaned).otherwise(F.col(text_col))).drop(
+    return docs.withColumn(text_col, F.when(F.size("_dc_positions") > 0, cleaned).otherwise(F.col(text_col))).drop(
         "_dc_positions")

@@ -152,6 +152,15 @@ def test_decontamination_of_spans(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {0: "A here.", 1: None, 2: "clean, TEXT!"}
 
 
+def test_decontamination_of_spans_beyond_the_limit(spark):
+    bench = decontaminate.benchmark_windows(benchmark(spark), broadcast_limit=0)
+    docs = docs_of(spark, ["A short, item here.", None, "clean, TEXT!"])
+    out = decontaminate.remove_contaminated(docs.union(docs), bench, "spans")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect() if r.text) == [(0, "A here.")] * 2 + [(2, "clean, TEXT!")] * 2
+    assert out.where("text IS NULL").count() == 2
+
+
 def test_top_k(spark):
     rng = random.Random(5)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], 0) for i in range(300)]
