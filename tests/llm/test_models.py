@@ -152,6 +152,30 @@ def test_language_model_learns_from_every_window(spark, monkeypatch):
     assert got == want and sum(want.values()) > lm.SHARD_WINDOWS * lm.ROUNDS
 
 
+def test_pipeline_drops_near_duplicates_by_row(spark):
+    import corpus_pipeline
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    a, b, c, d = (words(80) for _ in range(4))
+    near = a[:-1] + ["else"]
+    texts = [(1, a), (5, near), (5, b), (5, b), (None, c), (None, c), (None, near), (3, d), (3, c), (9, []), (9, [])]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    grams = [{tuple(t[j:j + 5]) for j in range(len(t) - 4)} for _, t in texts]
+    group = list(range(len(rows)))
+    for i, x in enumerate(grams):
+        for j, y in enumerate(grams[:i]):
+            if x and y and len(x & y) * 100 >= 80 * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = []
+    for g in set(group):
+        ids = [r for r, own in zip(rows, group) if own == g]
+        want.append(min(ids, key=lambda r: (r[0] is None, r[0] or 0)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 6
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
