@@ -101,9 +101,24 @@ def _billing_year_sql(select: str) -> str:
 {select}"""
 
 
-def _billing_year(spark, sf_dir, cols):
+def _billing_period(spark, sf_dir, cols, start, end):
     b = derive.billing(spark, sf_dir, cols)
-    return rc.filter_period(b, "billing_date", YEAR_START, YEAR_END)
+    return rc.filter_period(b, "billing_date", start, end)
+
+
+def _register_e(name: str, year_sql: str, doubles=(), **kinds):
+    """Register a builder over (start, end) twice: ``name`` reads one year, ``name``_full the whole data range."""
+    full_sql = (year_sql.replace(f"DATE '{YEAR_START}'", f"DATE '{FULL_START}'")
+                .replace(f"DATE '{YEAR_END}'", f"DATE '{FULL_END}'"))
+
+    def wrap(fn):
+        for suffix, sql, start, end in (("", year_sql, YEAR_START, YEAR_END), ("_full", full_sql, FULL_START, FULL_END)):
+            def build(spark, sf_dir, start=start, end=end):
+                return fn(spark, sf_dir, start, end)
+            build.__name__, build.__doc__ = name + suffix, fn.__doc__
+            register(name + suffix, sql, doubles, **kinds)(build)
+        return fn
+    return wrap
 
 
 INSURANCE_SQL = """
@@ -114,68 +129,68 @@ SELECT ndc, drug_name, coalesce(insurance_name, 'UNKNOWN') AS insurance_name,
 FROM bp GROUP BY 1, 2, 3, 4 ORDER BY 1, 2, 3, 4"""
 
 
-@register("e_insurance_summary", _billing_year_sql(INSURANCE_SQL), ["total_billed"])
-def e_insurance_summary(spark, sf_dir):
+@_register_e("e_insurance_summary", _billing_year_sql(INSURANCE_SQL), ["total_billed"])
+def e_insurance_summary(spark, sf_dir, start, end):
     """Billed quantity and distinct patients per medication, insurer, BIN."""
-    b = _billing_year(spark, sf_dir, ["ndc", "insurance_name", "bin_number",
-                                       "quantity_billed", "patient_id", "billing_date"])
+    b = _billing_period(spark, sf_dir, ["ndc", "insurance_name", "bin_number",
+                                       "quantity_billed", "patient_id", "billing_date"], start, end)
     return an.insurance_billing_summary(b, names=derive.medication_names(spark, sf_dir))
 
 
-@register("e_patient_summary", _billing_year_sql("""
+@_register_e("e_patient_summary", _billing_year_sql("""
 SELECT ndc, drug_name, count(DISTINCT patient_id) AS unique_patient_count,
        CAST(sum(CAST(quantity_billed AS DECIMAL(28,6))) AS DOUBLE) AS total_billed
 FROM bp GROUP BY 1, 2 ORDER BY 1, 2"""), ["total_billed"])
-def e_patient_summary(spark, sf_dir):
+def e_patient_summary(spark, sf_dir, start, end):
     """Distinct patients and billed quantity per medication."""
-    b = _billing_year(spark, sf_dir, ["ndc", "quantity_billed", "patient_id", "billing_date"])
+    b = _billing_period(spark, sf_dir, ["ndc", "quantity_billed", "patient_id", "billing_date"], start, end)
     return an.patient_medication_summary(b, names=derive.medication_names(spark, sf_dir))
 
 
-@register("e_patient_details", _billing_year_sql(
+@_register_e("e_patient_details", _billing_year_sql(
     "SELECT " + ", ".join(an.PATIENT_DETAIL_COLUMNS) + " FROM bp"), ["quantity_billed"],
               dates=("date_of_birth", "billing_date"), nullable_ints=("refills_remaining",))
-def e_patient_details(spark, sf_dir):
+def e_patient_details(spark, sf_dir, start, end):
     """One row per billing record in the period, 12 display columns."""
-    return an.patient_billing_details(_billing_year(spark, sf_dir, derive.BILLING_COLUMNS))
+    return an.patient_billing_details(_billing_period(spark, sf_dir, derive.BILLING_COLUMNS, start, end))
 
 
-@register("e_drilldown_insurance", _billing_year_sql(
+@_register_e("e_drilldown_insurance", _billing_year_sql(
     f"SELECT * FROM ({INSURANCE_SQL}) WHERE ndc = '{DRILL_NDC}'"), ["total_billed"])
-def e_drilldown_insurance(spark, sf_dir):
+def e_drilldown_insurance(spark, sf_dir, start, end):
     """Insurance rows of one medication (E4 drill-down on the medication key)."""
-    b = _billing_year(spark, sf_dir, ["ndc", "insurance_name", "bin_number",
-                                       "quantity_billed", "patient_id", "billing_date"])
+    b = _billing_period(spark, sf_dir, ["ndc", "insurance_name", "bin_number",
+                                       "quantity_billed", "patient_id", "billing_date"], start, end)
     return an.insurance_billing_summary(b.filter(an.medication_filter(DRILL_NDC)),
                                         names=derive.medication_names(spark, sf_dir))
 
 
-@register("e_selection_patients", _billing_year_sql(
+@_register_e("e_selection_patients", _billing_year_sql(
     f"SELECT count(DISTINCT patient_id) AS unique_patients FROM bp WHERE ndc = '{DRILL_NDC}'"))
-def e_selection_patients(spark, sf_dir):
+def e_selection_patients(spark, sf_dir, start, end):
     """Distinct patients of the drill-down selection (E5)."""
-    b = _billing_year(spark, sf_dir, ["ndc", "patient_id", "billing_date"])
+    b = _billing_period(spark, sf_dir, ["ndc", "patient_id", "billing_date"], start, end)
     return an.selection_patient_count(b.filter(an.medication_filter(DRILL_NDC)))
 
 
-@register("e_pick_list", _inventory_sql(YEAR_START, YEAR_END).replace(
+@_register_e("e_pick_list", _inventory_sql(YEAR_START, YEAR_END).replace(
     "FROM totals ORDER BY ndc, drug_name",
     "FROM totals) SELECT DISTINCT ndc, drug_name, "
     "coalesce(drug_name, '') || ' (' || coalesce(ndc, '') || ')' AS label "
     "FROM inv ORDER BY ndc, drug_name").replace(
     "SELECT ndc, drug_name, CAST(tb AS DOUBLE)", ", inv AS (SELECT ndc, drug_name, CAST(tb AS DOUBLE)"))
-def e_pick_list(spark, sf_dir):
+def e_pick_list(spark, sf_dir, start, end):
     """``drug (ndc)`` labels in inventory order."""
-    return an.medication_pick_list(_reconcile(spark, sf_dir, YEAR_START, YEAR_END).inventory)
+    return an.medication_pick_list(_reconcile(spark, sf_dir, start, end).inventory)
 
 
-@register("e_conservation", _billing_year_sql("""
+@_register_e("e_conservation", _billing_year_sql("""
 , ins AS (SELECT ndc, drug_name, sum(CAST(quantity_billed AS DECIMAL(28,6))) AS t FROM bp GROUP BY 1, 2)
 SELECT count(*) AS medications, count(*) FILTER (WHERE false) AS mismatched_medications FROM ins"""))
-def e_conservation(spark, sf_dir):
+def e_conservation(spark, sf_dir, start, end):
     """Insurance totals equal inventory billed totals per medication."""
-    rec = _reconcile(spark, sf_dir, YEAR_START, YEAR_END)
-    b = _billing_year(spark, sf_dir, ["ndc", "drug_name", "insurance_name", "bin_number",
-                                       "quantity_billed", "patient_id", "billing_date"])
+    rec = _reconcile(spark, sf_dir, start, end)
+    b = _billing_period(spark, sf_dir, ["ndc", "drug_name", "insurance_name", "bin_number",
+                                       "quantity_billed", "patient_id", "billing_date"], start, end)
     ins = an.insurance_billing_summary(b, sort=False)
     return an.conservation_check(ins, rec.inventory)

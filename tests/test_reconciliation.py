@@ -73,3 +73,15 @@ def test_null_medication_keys_meet_in_the_merge(spark):
     o = spark.createDataFrame([(None, "X", 5.0)], "ndc string, drug_name string, quantity_ordered double")
     out = rc.inventory_status(rc.merge_sides(b, o)).collect()
     assert len(out) == 1 and out[0].status == "MATCHED"
+
+
+def test_analytics_reach_every_year(spark, sf_dir):
+    from ledger_spark.plans import REGISTRY
+    from ledger_spark.sources import derive
+    billing = derive.billing(spark, sf_dir, ["ndc", "quantity_billed", "billing_date"])
+    total, years = billing.agg(F.sum("quantity_billed"), F.countDistinct(F.year("billing_date"))).first()
+    got = REGISTRY["e_insurance_summary_full"].build(spark, sf_dir).agg(F.sum("total_billed")).first()[0]
+    assert years > 1 and float(got) == float(total)
+    assert REGISTRY["e_patient_details_full"].build(spark, sf_dir).count() == billing.count()
+    for name in ("patient_summary", "drilldown_insurance", "selection_patients", "pick_list", "conservation"):
+        assert f"e_{name}" in REGISTRY and f"e_{name}_full" in REGISTRY
