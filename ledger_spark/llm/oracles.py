@@ -127,3 +127,148 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)
 """
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII text (DuckDB has no such function): the usual polynomial, bit by bit."""
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+_MERKLE_LEVELS = 8  # of eight nodes a run: enough for 16 million documents of a language
+
+
+def _merkle_tree(nodes: str, prefix: str) -> str:
+    """CTEs prefix0 .. prefixN (tree, pos, hash, n, left, right) from (tree, pos, hash); a finished tree stays as it is."""
+    out = [f"{prefix}0 AS (SELECT tree, pos, hash, count(*) OVER (PARTITION BY tree) AS n FROM {nodes})"]
+    for level in range(_MERKLE_LEVELS):
+        out.append(f"""{prefix}s{level} AS (
+  SELECT tree, pos, n, hash,
+         coalesce(string_agg(hash, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(hash, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {prefix}{level})""")
+        out.append(f"""{prefix}{level + 1} AS (
+  SELECT tree, pos // 8 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(hash) ELSE sha256(string_agg(hash, '' ORDER BY pos)) END AS hash,
+         CASE WHEN any_value(n) = 1 THEN 1 ELSE (any_value(n) + 7) // 8 END AS n
+  FROM {prefix}{level} GROUP BY tree, pos // 8)""")
+    return ",\n".join(out)
+
+
+def _merkle_fold(source: str, prefix: str, out: str) -> str:
+    """CTEs that take (rid, tree, pos, own, proof) up a tree: own is folded, proof gets the siblings."""
+    steps = []
+    for level in range(_MERKLE_LEVELS):
+        at = source if level == 0 else f"{out}{level - 1}"
+        steps.append(f"""{out}{level} AS (
+  SELECT f.rid, f.tree, f.pos // 8 AS pos, CASE WHEN s.n = 1 THEN f.own ELSE sha256(s.before || f.own || s.after) END AS own,
+         CASE WHEN s.n = 1 THEN f.proof ELSE f.proof || s.before || s.after END AS proof
+  FROM {at} f JOIN {prefix}s{level} s ON f.tree = s.tree AND f.pos = s.pos)""")
+    return ",\n".join(steps)
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || {column} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_LAST = _MERKLE_LEVELS - 1
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+MERKLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf('text')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {_leaf(_LOWERED)} END AS tampered
+  FROM documents),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM d),
+leaves AS (SELECT tree, pos, leaf AS hash FROM l),
+{_merkle_tree('leaves', 'a')},
+tops AS (SELECT 0 AS tree, tree AS pos, hash FROM a{_MERKLE_LEVELS}),
+{_merkle_tree('tops', 'b')},
+f AS (SELECT rid, tree, pos, coalesce(tampered, leaf) AS own, '' AS proof FROM l),
+{_merkle_fold('f', 'a', 'g')},
+h AS (SELECT rid, 0 AS tree, tree AS pos, own, proof FROM g{_LAST}),
+{_merkle_fold('h', 'b', 'k')}
+SELECT l.doc_id, l.leaf, s.hash AS subroot, r.hash AS root, sha256(k.proof) AS proof_sha256, k.own AS folded_root,
+       k.own = r.hash AS verified
+FROM l JOIN k{_LAST} k USING (rid) JOIN a{_MERKLE_LEVELS} s ON l.tree = s.tree CROSS JOIN b{_MERKLE_LEVELS} r
+"""
+
+
+def _state(cost: str, audit: str, text: str) -> str:
+    return f"{{'c': CAST({cost} AS BIGINT), 'a': {audit}, 'r': {text}}}"
+
+
+def _moved(state: str, cost: str, letters: str, *lines: str) -> str:
+    text = f"{state}.r"
+    for line in lines:
+        text = f"({text} || CASE WHEN {text} = '' THEN '' ELSE chr(10) END || {line})"
+    return _state(f"{state}.c + {cost}", f"{state}.a || '{letters}'", text)
+
+
+def _least(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+_NEVER = _state("1000000000", "''", "''")
+_CLOSED = f"""SELECT cid, i, s0 AS t0, s1 AS t1,
+  {_least('s2', *[_moved(s, '5', 'I', "'user:'") for s in ('s0', 's1', 's3')])} AS t2,
+  {_least('s3', _moved('s2', '5', 'I', "'assistant:'"), *[_moved(s, '10', 'II', "'user:'", "'assistant:'") for s in ('s0', 's1')])} AS t3"""
+
+
+def _stay(state: str, initial: str, role: str) -> str:
+    """Keep (if the initial fits) or re-role the row after a state; never where the row must go."""
+    keep = f"CASE WHEN x.initial = '{initial}' AND NOT x.gone THEN {_moved(state, '(CASE WHEN x.cut THEN 5 ELSE 0 END)', 'K', 'x.line')} ELSE {_NEVER} END"
+    change = f"CASE WHEN NOT x.gone THEN {_moved(state, '(CASE WHEN x.cut THEN 6 ELSE 1 END)', 'R', f'{role} || x.text')} ELSE {_NEVER} END"
+    return f"{keep}, {change}"
+
+
+_USER = "'user:'"
+_ASSISTANT = "'assistant:'"
+REPAIR = rf"""
+WITH RECURSIVE o AS (
+  SELECT row_number() OVER () AS rid, conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, turn,
+         coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+  FROM conversations),
+m AS (
+  SELECT rid, cid, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM o WHERE fault <> 0),
+q AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, rid, copy) - 1 AS i FROM m),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut_off,
+         lag(role) OVER (PARTITION BY cid ORDER BY i) AS prior
+  FROM q),
+x AS (
+  SELECT *, role || ':' || text AS line, substr(role, 1, 1) AS initial, blank OR again AS gone, NOT blank AND NOT again AND cut_off AS cut
+  FROM f),
+c AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE NOT blank AND again) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+         count(*) FILTER (WHERE prior IS NOT NULL AND substr(prior, 1, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM x GROUP BY cid),
+p(cid, i, s0, s1, s2, s3) AS (
+  SELECT cid, CAST(0 AS BIGINT), {_state('0', "''", "''")}, {_NEVER}, {_NEVER}, {_NEVER} FROM c
+  UNION ALL
+  SELECT t.cid, t.i + 1, {_moved('t0', '2', 'D')},
+    {_least(_moved('t1', '2', 'D'), f"CASE WHEN x.initial = 's' AND NOT x.gone THEN {_moved('t0', '(CASE WHEN x.cut THEN 5 ELSE 0 END)', 'K', 'x.line')} ELSE {_NEVER} END")},
+    {_least(_moved('t2', '2', 'D'), *[_stay(s, 'u', _USER) for s in ('t0', 't1', 't3')])},
+    {_least(_moved('t3', '2', 'D'), _stay('t2', 'a', _ASSISTANT))}
+  FROM ({_CLOSED} FROM p) t JOIN x ON x.cid = t.cid AND x.i = t.i),
+e AS (
+  SELECT cid, {_least('t0', 't3')} AS best FROM ({_CLOSED} FROM p JOIN c USING (cid) WHERE p.i = c.n))
+SELECT DISTINCT o.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.best.c, 0) AS BIGINT) AS cost,
+       coalesce(e.best.a, '') AS audit, sha256(coalesce(e.best.r, '')) AS repaired_sha256
+FROM o LEFT JOIN c USING (cid) LEFT JOIN e USING (cid)
+"""

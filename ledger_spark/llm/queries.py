@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_spark.llm import (chat, decontaminate, jaccard_join, line_dedup, lm, mixing, oracles, quality, substring_dedup,
-                               topk, toxicity)
-from ledger_spark.llm.common import remainder, table
+from ledger_spark.llm import (chat, decontaminate, jaccard_join, line_dedup, lm, merkle, mixing, oracles, quality, repair,
+                               substring_dedup, topk, toxicity)
+from ledger_spark.llm.common import ascii_lower, remainder, table
 from ledger_spark.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -95,3 +95,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
     return chat.read_back(chat.segments(rows)).drop("valid")
+
+
+@query("op11_merkle_manifest", oracles.MERKLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document against the root, with a third of the texts tampered with (a null id is not)."""
+    def leaf(text):
+        return merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(ascii_lower(F.col("text"))))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    manifest = merkle.build(docs, key="lang", order="doc_id", keep=["tampered"])
+    proofs = (merkle.prove(manifest).join(manifest.subroots.select("tree", "subroot"), "tree")
+              .join(F.broadcast(manifest.root)))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("tampered", "leaf"), F.col("left"), F.col("right")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_conversation_repair", oracles.REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every conversation, after planting faults."""
+    conversations = table(spark, sf_dir, "conversations")
+    audits, edits = repair.repair(repair.damage(conversations))
+    done = audits.alias("a").join(repair.digests(edits).alias("d"), F.expr("a.conv_id <=> d.conv_id")).select("a.*", "d.repaired_sha256")
+    zero = F.lit(0).cast("long")
+    return (conversations.select("conv_id").distinct().alias("c").join(done.alias("r"), F.expr("c.conv_id <=> r.conv_id"), "left")
+            .select("c.conv_id", *[F.coalesce(f"r.{n}", zero).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                    F.coalesce("r.audit", F.lit("")).alias("audit"),
+                    F.coalesce("r.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
