@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_spark.llm import (chat, decontaminate, jaccard_join, line_dedup, lm, merkle, mixing, oracles, quality, repair,
+from ledger_spark.llm import (bpe, chat, decontaminate, jaccard_join, line_dedup, lm, merkle, mixing, oracles, quality, repair,
                                substring_dedup, topk, toxicity)
 from ledger_spark.llm.common import ascii_lower, remainder, table
 from ledger_spark.llm.registry import ORACLES, QUERIES, query
@@ -126,3 +127,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c.conv_id", *[F.coalesce(f"r.{n}", zero).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
                     F.coalesce("r.audit", F.lit("")).alias("audit"),
                     F.coalesce("r.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
+@query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and the text that they decode to, as digests."""
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
