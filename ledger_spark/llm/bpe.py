@@ -1,10 +1,11 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Texts are split into words in Spark tasks, a run of texts (``CHUNK`` characters) at a
-time; a chunk keeps its distinct words and, for every position, a word's number.  Each
-distinct word of the whole input is encoded once, and its ids come back to the chunks by
-a join on the word; decoding joins the ids of that table with the vocabulary's pieces,
-once per distinct word too.  Chunks then put ids and pieces in place by position.
+time; a chunk keeps its distinct words and, for every position, a word's number.  The
+chunks' words are dealt by word and sorted: there each distinct word of the whole input
+is encoded once, decoding joins its ids with the vocabulary's pieces (as many rows as the
+vocabulary has, broadcast), and both go back to the chunks that asked, packed.  Chunks
+then put ids and pieces in place by position.
 
 What crosses the network is a chunk's packed positions and its distinct words; texts
 do not.  A frequent word is one row per chunk, so no key is hot.
@@ -37,6 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ledger_spark.llm.words import release
+
 #: Characters of text in one chunk.
 CHUNK = 1 << 25
 #: Fixed value: the word pattern of byte-level BPE vocabularies.
@@ -138,6 +141,8 @@ def _chunks(docs: DataFrame, vocabulary: Broadcast, id_col: str, text_col: str,
                     held, n = _Chunk(), n + 1
         if held.ids:
             yield out()
+        held = None
+        release()
 
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return (thin.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<long>, codes binary, words binary")
@@ -156,23 +161,37 @@ def _requests(chunks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, pa.string()), pa.array(np.full(len(some), chunk)), pa.array(np.arange(lo, lo + len(some)))],
                         names=["word", "chunk", "code"])
+        release()
 
-    # without null words, as a join asks, so that all uses of the dealt rows are one exchange
-    return chunks.mapInArrow(run, "word string, chunk long, code long").where("word IS NOT NULL").repartition("word")
+    return chunks.mapInArrow(run, "word string, chunk long, code long").repartition("word")
 
 
 def _encoded(requests: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """word, tokens: the distinct words with their ids; each is encoded once, where the requests for it lie."""
+    """chunk, code, at, id: the ids of each requested word, in order.
 
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array, asked: pa.Array) -> pa.Array:
-        coded = _tokenizer(vocabulary.value).encode_batch_fast(words.to_pylist(), add_special_tokens=False)
-        return pa.array([e.ids for e in coded], pa.list_(pa.int32()))
+    The requests for a word lie together, sorted, so each distinct word is encoded once; a word asked for
+    by many chunks goes out with as many of them as an Arrow batch holds.
+    """
 
-    # the second argument keeps all columns of the requests in use (a narrower exchange would be one more), and
-    # "nondeterministic" keeps the optimizer from encoding before the words are distinct
-    return (requests.groupBy("word").agg(F.min(F.col("chunk") + F.col("code")).alias("asked"))
-            .select("word", encode.asNondeterministic()("word", "asked").alias("tokens")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, last, tokens = _tokenizer(vocabulary.value), None, []
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column("word"))
+            words = runs.values.to_pylist()
+            new = words[1:] if words and words[0] == last else words
+            coded = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            if len(new) < len(words):
+                coded.insert(0, tokens)
+            if words:
+                last, tokens = words[-1], coded[-1]
+            bounds = pa.array(np.concatenate([[0], runs.run_ends.to_numpy()]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.list_(pa.int32()))] + [
+                pa.ListArray.from_arrays(bounds, batch.column(c)) for c in ("chunk", "code")], names=["tokens", "chunk", "code"])
+        release()
+
+    table = requests.sortWithinPartitions("word").mapInArrow(run, "tokens array<int>, chunk array<long>, code array<long>")
+    asked = table.select("tokens", F.explode(F.arrays_zip("chunk", "code")).alias("asked"))
+    return asked.select("asked.chunk", "asked.code", F.posexplode("tokens").alias("at", "id"))
 
 
 def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -185,15 +204,6 @@ def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(rows), pa.int32()), "piece": pa.array(list(rows.values()), pa.binary())}))
 
 
-def _spelled(encoded: DataFrame, vocabulary_pieces: DataFrame) -> DataFrame:
-    """entry, tokens, decoded: the distinct words with the bytes of their ids' pieces (as many rows as the vocabulary has)."""
-    ids = encoded.select("word", F.posexplode("tokens").alias("at", "id"))
-    named = ids.join(F.broadcast(vocabulary_pieces), "id")
-    row = F.sort_array(F.collect_list(F.struct("at", "id", F.col("piece").cast("string").alias("piece"))))
-    return (named.groupBy("word").agg(row.alias("row"))
-            .select(F.col("word").alias("entry"), F.col("row.id").alias("tokens"), F.array_join("row.piece", "").cast("binary").alias("decoded")))
-
-
 _ANSWER = ("codes", "counts", "tokens", "lengths", "letters")
 
 
@@ -202,12 +212,13 @@ def _packed(answers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[pa.RecordBatch]):
-            one = pa.Table.from_batches(rows).combine_chunks()
-            chunk, codes = one.column("chunk")[0].as_py(), one.column("code").to_numpy()
-            tokens, spelled = (pa.concat_arrays(one.column(c).chunks) for c in ("tokens", "decoded"))
-            values = (_pack(np.diff(codes, prepend=0)), _pack(tokens.value_lengths().to_numpy()), _pack(tokens.flatten().to_numpy()),
-                      _pack(pc.binary_length(spelled).to_numpy()), zstandard.compress(b"".join(spelled.to_pylist())))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([v], pa.binary()) for v in values)],
+            one = pa.Table.from_batches(rows)
+            codes, ids, spelled = (pa.concat_arrays(one.column(c).chunks) for c in ("code", "id", "piece"))
+            codes, sizes = codes.to_numpy(), pc.binary_length(spelled).to_numpy()
+            begin = np.flatnonzero(np.diff(codes, prepend=-1))
+            values = (_pack(np.diff(codes[begin], prepend=0)), _pack(np.diff(begin, append=len(codes))), _pack(ids.to_numpy()),
+                      _pack(np.add.reduceat(sizes, begin)), zstandard.compress(b"".join(spelled.to_pylist())))
+            return pa.RecordBatch.from_arrays([one.column("chunk").slice(0, 1).combine_chunks(), *(pa.array([v], pa.binary()) for v in values)],
                                               names=["chunk", *_ANSWER])
 
         held: list[pa.RecordBatch] = []
@@ -222,8 +233,11 @@ def _packed(answers: DataFrame) -> DataFrame:
                     held.append(batch.slice(lo, hi - lo))
         if held:
             yield flush(held)
+        held = []
+        release()
 
-    return answers.sortWithinPartitions("chunk", "code").mapInArrow(run, "chunk long, " + ", ".join(f"{c} binary" for c in _ANSWER))
+    return (answers.sortWithinPartitions("chunk", "code", "at").select("chunk", "code", "id", "piece")
+            .mapInArrow(run, "chunk long, " + ", ".join(f"{c} binary" for c in _ANSWER)))
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -271,8 +285,11 @@ def _placed(chunks: DataFrame, answers: DataFrame, id_col: str, kind: str) -> Da
                 ids_out.append(row_id)
         starts = np.cumsum([0, *map(len, tokens_out)], dtype=np.int32)
         values = np.concatenate([np.zeros(0, np.int32), *tokens_out])
-        return pa.table({id_col: pa.array(ids_out, chunk.schema.field("ids").type.value_type),
-                         "ids": pa.ListArray.from_arrays(pa.array(starts), pa.array(values)), "decoded": pa.array(texts, pa.string())})
+        out = pa.table({id_col: pa.array(ids_out, chunk.schema.field("ids").type.value_type),
+                        "ids": pa.ListArray.from_arrays(pa.array(starts), pa.array(values)), "decoded": pa.array(texts, pa.string())})
+        del replies, ids, letters, tokens_out, texts, values
+        release()
+        return out
 
     return (chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
             .applyInArrow(run, f"{id_col} {kind}, ids array<int>, decoded string"))
@@ -284,7 +301,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
     chunks = _chunks(docs, vocabulary, id_col, text_col, chunk_chars)
-    requests = _requests(chunks)
-    words = _spelled(_encoded(requests, vocabulary), pieces(spark, vocabulary.value))
-    answers = requests.join(words, F.col("word") == F.col("entry")).select("chunk", "code", "tokens", "decoded")
-    return _placed(chunks, _packed(answers), id_col, docs.schema[id_col].dataType.simpleString())
+    spelled = _encoded(_requests(chunks), vocabulary).join(F.broadcast(pieces(spark, vocabulary.value)), "id")
+    return _placed(chunks, _packed(spelled), id_col, docs.schema[id_col].dataType.simpleString())
