@@ -13,16 +13,19 @@ remains, so a lone leaf is its tree's root.  Digests are lower-case hex, hashed
 Edge cases: a null field is hashed as ``-``, an empty one as ``0:``; a null key is a key
 of its own and comes first; rows that tie in the order column are ordered by leaf, and
 equal rows are interchangeable; a null in the order column comes first; an empty table
-has no rows and no root.  Extra columns pass through ``prove`` if they are named in ``keep``.
+has no rows and no root.  Extra columns pass through ``prove`` if they are named in ``keep``
+(names of ``RESERVED`` are refused).
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledger_spark.llm.common import store
 from ledger_spark.llm.order import numbered
@@ -78,7 +81,7 @@ def _up(tier: DataFrame, name: str) -> DataFrame:
         return pa.table({"tree": table.column("tree").slice(0, 1), "pos": pa.array([table.column("pos")[0].as_py() // SPAN], pa.int64()),
                          "hash": pa.array(top, pa.string()), "n": pa.array([left], pa.int64())})
 
-    return store(tier.where("n > 1").groupBy("tree", F.expr(f"pos div {SPAN}").alias("part"))
+    return store(tier.where("n > 1").select("tree", "pos", "hash", "n").groupBy("tree", F.expr(f"pos div {SPAN}").alias("part"))
                  .applyInArrow(climb, "tree long, pos long, hash string, n long"), name)
 
 
@@ -91,60 +94,64 @@ def _tiers(nodes: DataFrame, name: str) -> list[DataFrame]:
 
 
 def _roots(tiers: list[DataFrame]) -> DataFrame:
-    out = tiers[0].where("n = 1")
-    for tier in tiers[1:]:
-        out = out.unionByName(tier.where("n = 1"))
-    return out.select("tree", "hash")
+    return reduce(DataFrame.unionByName, [tier.where("n = 1").select("tree", "hash") for tier in tiers])
 
 
-def _paths(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """For every node of the lowest tier, its siblings on the way to its root, then those of ``tops`` (tree, left, right).
+def _paths(tiers: list[DataFrame], above: DataFrame, keep: list[str], carry: list[str]) -> DataFrame:
+    """For every node of the lowest tier: tree, pos, its columns ``keep``, the siblings on the way up, and ``carry`` of its tree.
 
-    One pair per level: the run's members before the node and those after it.  Goes down tier by tier; each
+    ``above`` has, for every tree, what comes after its root: left, right and the columns of ``carry``.  One pair
+    (left, right) per level: the run's members before the node and those after it.  Goes down tier by tier; each
     aligned subtree's inner nodes are made again from its stored ones and dropped when their siblings are out.
+    Nothing is joined to the finished proofs: the nodes' own columns go through the same tasks.
     """
 
-    texts = pa.list_(pa.string())
-
-    def descend(table: pa.Table, above: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"tree": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()),
-                             "left": pa.array([], texts), "right": pa.array([], texts)})
-        table = table.sort_by("pos")
-        nodes, n = table.column("hash").to_pylist(), table.column("n")[0].as_py()
-        levels = _levels(nodes, _rounds(n))[:-1]
-        rest_left, rest_right = above.column("left")[0].as_py(), above.column("right")[0].as_py()
-        pairs = []
-        for level in levels:
-            runs = [level[i:i + FANOUT] for i in range(0, len(level), FANOUT)]
-            pairs.append([("".join(run[:i]), "".join(run[i + 1:])) for run in runs for i in range(len(run))])
-        left, right = [], []
-        for i in range(len(nodes)):
-            steps = [pairs[depth][i // FANOUT ** depth] for depth in range(len(levels))]
-            left.append([a for a, _ in steps] + rest_left)
-            right.append([b for _, b in steps] + rest_right)
-        return pa.table({"tree": table.column("tree"), "pos": table.column("pos"),
-                         "left": pa.array(left, texts), "right": pa.array(right, texts)})
+    def descend_with(own: list[str], schema: pa.Schema):
+        def descend(table: pa.Table, above: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return schema.empty_table()
+            table = table.sort_by("pos")
+            nodes, n = table.column("hash").to_pylist(), table.column("n")[0].as_py()
+            levels = _levels(nodes, _rounds(n))[:-1]
+            rest_left, rest_right = above.column("left")[0].as_py(), above.column("right")[0].as_py()
+            pairs = []
+            for level in levels:
+                runs = [level[i:i + FANOUT] for i in range(0, len(level), FANOUT)]
+                pairs.append([("".join(run[:i]), "".join(run[i + 1:])) for run in runs for i in range(len(run))])
+            left, right = [], []
+            for i in range(len(nodes)):
+                steps = [pairs[depth][i // FANOUT ** depth] for depth in range(len(levels))]
+                left.append([a for a, _ in steps] + rest_left)
+                right.append([b for _, b in steps] + rest_right)
+            made = {"left": left, "right": right} | {c: [above.column(c)[0].as_py()] * len(nodes) for c in carry}
+            return pa.table([pa.array(made[f.name], f.type) if f.name in made else table.column(f.name) for f in schema], schema=schema)
+        return descend
 
     done = None
-    for tier in reversed(tiers):
-        single = (tier.where("n = 1").join(tops.withColumnRenamed("tree", "top_tree"), F.col("tree") == F.col("top_tree"))
-                  .select("tree", "pos", "left", "right"))
+    for i, tier in reversed(list(enumerate(tiers))):
+        own = ["tree", "pos", *(keep if i == 0 else [])]
+        over = above.select(F.col("tree").alias("_mk_tree"), "left", "right", *carry)
+        found = tier.where("n = 1").join(over, F.col("tree") == F.col("_mk_tree"))
+        found = found.select(*own, "left", "right", *carry)
         if done is not None:
             part = F.expr(f"pos div {SPAN}")
             inner = (tier.where("n > 1").withColumn("part", part).groupBy("tree", "part")
-                     .cogroup(done.select("tree", F.col("pos").alias("part"), "left", "right").groupBy("tree", "part"))
-                     .applyInArrow(descend, "tree long, pos long, left array<string>, right array<string>"))
-            single = single.unionByName(inner)
-        done = single
+                     .cogroup(done.select("tree", F.col("pos").alias("part"), "left", "right", *carry).groupBy("tree", "part"))
+                     .applyInArrow(descend_with(own, to_arrow_schema(found.schema)), found.schema))
+            found = found.unionByName(inner)
+        done = found
     return done
 
 
+#: Names that ``build`` and ``prove`` give; the columns passed to ``build`` must have others.
+RESERVED = ("tree", "pos", "n", "hash", "part", "left", "right", "subroot", "root")
+
+
 class Manifest:
-    """The stored tiers of a data set's trees and the hash over all of it."""
+    """The stored tiers of a data set's trees (the lowest with the rows' own columns) and the tiers over their roots."""
 
-    def __init__(self, rows: DataFrame, keys: DataFrame, tiers: list[DataFrame], top_tiers: list[DataFrame]):
-        self.rows, self.keys, self.tiers, self.top_tiers = rows, keys, tiers, top_tiers
+    def __init__(self, columns: list[str], keys: DataFrame, tiers: list[DataFrame], top_tiers: list[DataFrame]):
+        self.columns, self.keys, self.tiers, self.top_tiers = columns, keys, tiers, top_tiers
 
     @property
     def root(self) -> DataFrame:
@@ -163,26 +170,27 @@ def build(rows: DataFrame, key: str, order: str, keep: list[str] = ()) -> Manife
     Texts are not needed here: rows are dealt and stored with their key, order, leaf and the columns of ``keep``.
     """
     columns = list(dict.fromkeys([key, order, "leaf", *keep]))
+    if clash := sorted(set(columns) & set(RESERVED)):
+        raise ValueError(f"columns {clash} have names that the manifest gives")
     thin = store(rows.select(*columns), "merkle-rows")
     placed, sizes = numbered(thin, [key], [F.col(order).asc_nulls_first(), F.col("leaf")], "merkle-sorted", "pos")
     named = store(numbered(sizes, [], [F.col(key).asc_nulls_first()], "merkle-keys", "tree")[0], "merkle-trees")
-    placed = store(placed.withColumnRenamed(key, "_mk_key").join(named.withColumnRenamed(key, "_mk_named"),
-                                                               F.col("_mk_key").eqNullSafe(F.col("_mk_named")))
-                   .drop("_mk_named").withColumnRenamed("_mk_key", key), "merkle-leaves")
-    tiers = _tiers(placed.select("tree", "pos", F.col("leaf").alias("hash"), "n"), "merkle-tier")
-    subroots = _roots(tiers)
-    top = subroots.select(F.lit(_TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), "hash",
-                          F.lit(named.count()).cast("long").alias("n"))
+    leaves = store(placed.join(named.withColumnRenamed(key, "_mk_named"), F.col(key).eqNullSafe(F.col("_mk_named")))
+                   .select("tree", "pos", F.col("leaf").alias("hash"), "n", *columns), "merkle-leaves")
+    tiers = _tiers(leaves, "merkle-tier")
+    top = _roots(tiers).select(F.lit(_TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), "hash",
+                               F.lit(named.count()).cast("long").alias("n"))
     top_tiers = _tiers(store(top, "merkle-subroots"), "merkle-top")
-    return Manifest(placed, named.select(key, "tree"), tiers, top_tiers)
+    return Manifest(columns, named.select(key, "tree"), tiers, top_tiers)
 
 
 def prove(manifest: Manifest) -> DataFrame:
-    """The manifest's rows with their proof: ``left`` and ``right`` hold one text per level, from the leaf to the root."""
+    """The manifest's rows with their proof: subroot, root, and one text per level, from leaf to root, in left and right."""
     none = F.array().cast("array<string>")
-    over = manifest.root.select(F.lit(_TOP).cast("long").alias("tree"), none.alias("left"), none.alias("right"))
-    tops = _paths(manifest.top_tiers, over).select(F.col("pos").alias("tree"), "left", "right")
-    return manifest.rows.join(_paths(manifest.tiers, tops), ["tree", "pos"])
+    over = manifest.root.select(F.lit(_TOP).cast("long").alias("tree"), none.alias("left"), none.alias("right"), "root")
+    tops = _paths(manifest.top_tiers, over, ["hash"], ["root"]).select(
+        F.col("pos").alias("tree"), "left", "right", F.col("hash").alias("subroot"), "root")
+    return _paths(manifest.tiers, store(tops, "merkle-tops"), manifest.columns, ["subroot", "root"]).drop("tree", "pos")
 
 
 def proof_digest(left: Column, right: Column) -> Column:

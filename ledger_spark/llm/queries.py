@@ -107,9 +107,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(ascii_lower(F.col("text"))))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered"))
-    manifest = merkle.build(docs, key="lang", order="doc_id", keep=["tampered"])
-    proofs = (merkle.prove(manifest).join(manifest.subroots.select("tree", "subroot"), "tree")
-              .join(F.broadcast(manifest.root)))
+    proofs = merkle.prove(merkle.build(docs, key="lang", order="doc_id", keep=["tampered"]))
     return proofs.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"),
         merkle.fold(F.coalesce("tampered", "leaf"), F.col("left"), F.col("right")).alias("folded_root"),
