@@ -81,6 +81,10 @@ class Lattice:
             prices = [prices[0] + (DELETE if kind & 3 else 0)] * 4 + prices
         self.price = prices + [0]
         self.reached: list[bool] | None = None
+        # a node without any way to the end would be raised for ever
+        for node, ok in enumerate(self._reach(tight=False)):
+            if not ok:
+                self.price[node] = INF
 
     def out(self, node: int) -> list[tuple[str, str, int, int]]:
         """The arcs out of a node: (letter, symbol, cost, node)."""
@@ -111,19 +115,20 @@ class Lattice:
         self.reached = None
         return price[origin]
 
-    def _reach(self) -> list[bool]:
-        """Which nodes come to the end over tight arcs alone."""
+    def _reach(self, tight: bool) -> list[bool]:
+        """Which nodes come to the end, over tight arcs alone or over any."""
         price = self.price
         ok = [False] * self.end + [True]
         for i in range(len(self.kinds), -1, -1):
             for _ in range(3):              # at most two inserted turns follow each other
                 for node in range(4 * i, 4 * i + 4):
-                    ok[node] = ok[node] or any(price[node] == cost + price[head] and ok[head] for _, _, cost, head in self.out(node))
+                    ok[node] = ok[node] or any(
+                        ok[head] and (not tight or price[node] == cost + price[head]) for _, _, cost, head in self.out(node))
         return ok
 
     def trace(self, origin: int) -> tuple[list[str], int]:
         """The symbols of each row of the cheapest path with the least letters, and its exit state."""
-        self.reached = self.reached or self._reach()
+        self.reached = self.reached or self._reach(tight=True)
         steps, at, node = [""] * len(self.kinds), 0, origin
         while True:
             letter, symbol, _, head = next(a for a in self.out(node)
