@@ -15,9 +15,12 @@ import random
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +31,7 @@ from ledger_spark.operators.quantiles import exact_median
 from ledger_spark.operators.scan import blocked_running
 from ledger_spark.operators.features import FEATURE_COLUMNS
 from ledger_spark.operators.prep import MISSING_STD_COLUMN, MISSING_STD_INDICATOR, MODEL_FEATURE_COLUMNS
+from ledger_spark.session import cut_lineage
 
 SEED = 20260814
 LABEL = "label"
@@ -102,6 +106,9 @@ def _preprocess_stage(train: DataFrame, standardize: bool,
 TREE_CACHE = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
 
 
+LOGISTIC_ITERATIONS = 500
+
+
 def _classifier(spec: ModelSpec, n_train: int):
     p = spec.params
     if spec.family == "logistic_regression":
@@ -109,7 +116,7 @@ def _classifier(spec: ModelSpec, n_train: int):
         # sklearn minimizes 1/2||w||^2 + C * sum(loss); Spark mean(loss) + reg/2 ||w||^2
         return LogisticRegression(featuresCol="features", labelCol=LABEL, regParam=1.0 / (c * n_train),
                                   elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0,
-                                  standardization=False, maxIter=p.get("max_iter", 500), tol=1e-8)
+                                  standardization=False, maxIter=p.get("max_iter", LOGISTIC_ITERATIONS), tol=1e-8)
     if spec.family == "random_forest":
         mf = p.get("max_features", "sqrt")
         strategy = {"sqrt": "sqrt", "log2": "log2", 1.0: "all"}.get(mf, str(mf))
@@ -129,16 +136,24 @@ def _classifier(spec: ModelSpec, n_train: int):
                          minInstancesPerNode=int(p.get("min_child_samples", 1)), **TREE_CACHE)
 
 
+#: Rows of one partition in a fit.  Bagging draws by partition, so their number follows from the rows alone.
+FIT_PARTITION_ROWS = 20_000
+
+
+def _dealt(train: DataFrame, n: int, features: Sequence[str]) -> DataFrame:
+    """Rows dealt by a hash of their id and sorted, into as many partitions as their number asks for."""
+    key = ["observation_id"] if "observation_id" in train.columns else [c for c in features if c in train.columns]
+    return train.repartition(max(1, -(-n // FIT_PARTITION_ROWS)), *key).sortWithinPartitions(*key)
+
+
 def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str] = MODEL_FEATURE_COLUMNS) -> PipelineModel:
     """Fit preprocessing + classifier on training rows with a ``label`` column.
 
-    Bagging draws by partition, so rows are dealt by a hash of their id and
-    sorted: the same rows give the same model wherever they were read from.
+    Rows are dealt as ``_dealt`` says: the same rows give the same model
+    wherever they were read from and whatever the session's settings are.
     """
     n = train.count()
-    key = ["observation_id"] if "observation_id" in train.columns else [c for c in features if c in train.columns]
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    train = train.repartition(parts, *key).sortWithinPartitions(*key)
+    train = _dealt(train, n, features)
     pre = _preprocess_stage(train, spec.family == "logistic_regression", features)
     asm = VectorAssembler(inputCols=[_in(c) for c in features], outputCol="features")
     return Pipeline(stages=[pre, asm, _classifier(spec, n)]).fit(train)
@@ -192,25 +207,91 @@ def sample_params(family: str, trials: int, seed: int = SEED) -> list[dict]:
     return random.Random(seed).sample(points, min(trials, len(points)))
 
 
+@dataclass(frozen=True)
+class Fold:
+    """One expanding fold, preprocessed on its own fit rows and written once: (features, label) of both parts."""
+    number: int
+    fit_rows: int
+    fit: DataFrame
+    held_out: DataFrame
+
+
+def prepared_folds(train_folds: DataFrame, standardize: bool, features: Sequence[str]) -> list[Fold]:
+    """Every fold's vectors; all trials of a search read these instead of preparing the fold again."""
+    bounds = {r["validation_fold"]: r["start"] for r in train_folds.filter("validation_fold > 0").groupBy("validation_fold")
+              .agg(F.min("position").alias("start")).collect()}          # one row per fold
+    out = []
+    for number, start in sorted(bounds.items()):
+        before = train_folds.filter(F.col("position") < start)
+        n = before.count()
+        pre = _preprocess_stage(before, standardize, features)
+        asm = VectorAssembler(inputCols=[_in(c) for c in features], outputCol="features")
+
+        def vectors(rows: DataFrame) -> DataFrame:
+            return cut_lineage(asm.transform(pre.transform(rows)).select("features", F.col(LABEL).cast("double").alias(LABEL)))
+        out.append(Fold(number, n, vectors(_dealt(before, n, features)),
+                        vectors(train_folds.filter(F.col("validation_fold") == number))))
+    return out
+
+
+def _rounds(params: dict) -> int:
+    return int(params.get("n_estimators", 0))
+
+
+def _prefix(params: dict) -> tuple:
+    """What trials must share to be stages of one fit: everything but the number of trees."""
+    return tuple(sorted((k, str(v)) for k, v in params.items() if k != "n_estimators"))
+
+
+def first_trees(model, n: int):
+    """The ensemble of a fitted model's first ``n`` trees; the model itself if it has no more."""
+    if not hasattr(model, "trees") or n >= len(model.trees):
+        return model
+    sc, java = SparkContext.getOrCreate(), model._java_obj      # in a worker thread no session is active
+    jvm = sc._jvm.org.apache.spark.ml
+    boosted = isinstance(model, GBTClassificationModel)
+    kind = jvm.regression.DecisionTreeRegressionModel if boosted else jvm.classification.DecisionTreeClassificationModel
+    trees = sc._gateway.new_array(kind, n)
+    for i, tree in enumerate(java.trees()[:n]):
+        trees[i] = tree
+    if boosted:
+        weights = sc._gateway.new_array(sc._gateway.jvm.double, n)
+        for i, w in enumerate(java.treeWeights()[:n]):
+            weights[i] = w
+        made = GBTClassificationModel(jvm.classification.GBTClassificationModel(java.uid(), trees, weights))
+    else:
+        made = RandomForestClassificationModel(
+            jvm.classification.RandomForestClassificationModel(java.uid(), trees, java.numFeatures(), java.numClasses()))
+    return made.setFeaturesCol("features")
+
+
 def _search(family: str, name: str, train_folds: DataFrame, trials: int | None, threads: int,
             features: Sequence[str]) -> list[tuple[dict, float]]:
-    draws = sample_params(family, trials or SEARCH_TRIALS[family])
-    folds = [r[0] for r in train_folds.select("validation_fold").distinct()
-             .filter("validation_fold > 0").orderBy("validation_fold").collect()]
-
-    def evaluate(params: dict) -> tuple[dict, float]:
-        aps = []
-        for k in folds:
-            val = train_folds.filter(F.col("validation_fold") == k)
-            start = val.agg(F.min("position")).first()[0]
-            fit_rows = train_folds.filter(F.col("position") < start)
-            model = fit(ModelSpec(name, family, params), fit_rows, features)
-            ap = me.ranking_metrics(score(model, val), []).first()["pr_auc"]
-            aps.append(ap if ap is not None else 0.0)
-        return params, sum(aps) / len(aps)
+    """Mean AP of each draw over the folds.
 
+    Draws that differ only in the number of trees are stages of one fit with
+    the most of them.  All held-out scores of a fold are ranked in one job.
+    """
+    draws = sample_params(family, trials or SEARCH_TRIALS[family])
+    groups: dict[tuple, list[int]] = {}
+    for i, params in enumerate(draws):
+        groups.setdefault(_prefix(params), []).append(i)
+    folds = prepared_folds(train_folds, family == "logistic_regression", features)
+
+    def scores(fold: Fold, members: list[int]) -> DataFrame:
+        longest = max((draws[i] for i in members), key=_rounds)
+        model = _classifier(ModelSpec(name, family, longest), fold.fit_rows).fit(fold.fit)
+        parts = [first_trees(model, _rounds(draws[i]) or 1).transform(fold.held_out).select(
+            F.lit(i).alias("trial"), LABEL, vector_to_array("probability")[1].alias("score")) for i in members]
+        return reduce(DataFrame.unionByName, parts)
+
+    totals = [0.0] * len(draws)
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(evaluate, draws))
+        for fold in folds:
+            stacked = cut_lineage(reduce(DataFrame.unionByName, pool.map(lambda m: scores(fold, m), groups.values())))
+            for row in me.ranking_metrics(stacked, ["trial"]).collect():         # one row per trial
+                totals[row["trial"]] += row["pr_auc"] or 0.0
+    return [(params, total / len(folds)) for params, total in zip(draws, totals)]
 
 
 def randomized_search(family: str, name: str, train_folds: DataFrame, trials: int | None = None,

@@ -78,13 +78,16 @@ def first_validation_error() -> Column:
 
 
 def score_batch(requests: DataFrame, as_of: Column, scorer: Callable[[], Column],
-                threshold: float = LOCKED_THRESHOLD) -> DataFrame:
-    """Per-row response or error in one projection (M1-M6).
+                threshold: float = LOCKED_THRESHOLD, passed: tuple[str, ...] = ("batch_id",)) -> DataFrame:
+    """Per-row response or error in one projection (M1-M6); fields that no request has are refused.
 
     ``as_of`` is the business date column (M7), ``scorer`` builds the
     probability column from the 15 raw features (M5).  Error rows keep the
     request's ``rx_number`` and carry only ``error_code`` and ``message``.
     """
+    unknown = sorted(set(requests.columns) - {f[0] for f in REQUEST_FIELDS} - set(passed))
+    if unknown:
+        raise ValueError(f"Requests have fields that the contract does not allow: {unknown}")
     v = requests.withColumn("_error", first_validation_error())
     valid = F.col("_error").isNull()
     supply_end = F.date_add(F.col("fill_date"), F.col("current_days_supply").cast("int"))
@@ -98,7 +101,7 @@ def score_batch(requests: DataFrame, as_of: Column, scorer: Callable[[], Column]
         return F.when(valid, c)
 
     return v.select(
-        *[c for c in requests.columns if c == "batch_id"],
+        *[c for c in requests.columns if c in passed],
         "rx_number",
         F.when(~valid, "error").when(eligible, "success").otherwise("ineligible").alias("status"),
         ok(eligible).alias("eligible"),

@@ -8,6 +8,8 @@ from ledger_spark.functions.rules import PRIORITY_BANDS, priority_band_sql, prio
 from ledger_spark.operators import cases as cs
 from ledger_spark.operators import scoring as sc
 from ledger_spark.operators.propensity import propensity_sql, renewal_propensity
+from ledger_spark.plans.eval_queries import LABEL, SPLIT_SQL
+from ledger_spark.plans.linear_queries import LINEAR_SCORE_SQL, LINEAR_STATS_SQL, stored_linear
 from ledger_spark.plans.oracle import CANDIDATE_FEATURES
 from ledger_spark.plans.registry import register
 from ledger_spark.plans.research_queries import LABEL_AFTER_DAYS, candidates, observations_sql
@@ -34,7 +36,7 @@ def score_requests(spark, sf_dir):
     return sc.score_batch(requests(spark, sf_dir), F.col("batch_id"), renewal_propensity)
 
 
-def _m_sql(select: str) -> str:
+def _m_sql(select: str, score: str = propensity_sql(), ctes: str = "", beside: str = "") -> str:
     checks = []
     for name, kind, lower, inclusive, upper in sc.REQUEST_FIELDS:
         if kind != "optional_float":
@@ -52,12 +54,12 @@ def _m_sql(select: str) -> str:
     band = priority_band_sql("days")
     return observations_sql(LABEL_AFTER_DAYS, CANDIDATE_FEATURES + f"""
 , req AS (SELECT last_day(observation_date) AS batch_id, * FROM requests)
-, v AS (SELECT *, {err} AS err,
+{ctes}, v AS (SELECT *, {err} AS err,
                CAST(fill_date + CAST(current_days_supply AS INTEGER) AS DATE) AS supply_end,
                datediff('day', last_day(observation_date), fill_date + CAST(current_days_supply AS INTEGER)) AS days
         FROM req)
 , e AS (SELECT *, current_refills_remaining = 0 AND ({band}) IS NOT NULL AS elig,
-               {propensity_sql()} AS p FROM v)
+               {score} AS p FROM v{beside})
 , scored AS (
   SELECT batch_id, rx_number,
          CASE WHEN err IS NOT NULL THEN 'error' WHEN elig THEN 'success' ELSE 'ineligible' END AS status,
@@ -102,6 +104,22 @@ def m_batch_counters(spark, sf_dir):
     return sc.batch_counters(score_requests(spark, sf_dir), ["batch_id"])
 
 
+def linear_scores(spark, sf_dir):
+    """The monthly batches scored by the stored linear model, as one column expression (M5)."""
+    model = stored_linear(spark, sf_dir, LABEL_AFTER_DAYS)
+    return sc.score_batch(requests(spark, sf_dir), F.col("batch_id"), model.column)
+
+
+@register("m_linear_batch", _m_sql(
+    "SELECT * FROM scored", LINEAR_SCORE_SQL,
+    f", split_obs AS (SELECT *, {SPLIT_SQL} AS split, {LABEL} AS label FROM observations)\n" + LINEAR_STATS_SQL, ", lin"),
+    ["renewal_probability", "threshold"], dates=("batch_id", "expected_supply_end_date"),
+    nullable_ints=("days_until_supply_end", "prediction", "eligible"))
+def m_linear_batch(spark, sf_dir):
+    """Every request of the monthly batches scored by the locked linear model in closed form."""
+    return linear_scores(spark, sf_dir)
+
+
 # ---------------------------------------------------------------- N workflow
 _EVENTS_SQL = f"""
 WITH ev AS (
