@@ -2,6 +2,8 @@
 
 Per prescription number, events are ordered by ``(ts, event_id)``:
 
+* an ineligible prediction (no probability, or days of supply out of every band) is
+  never stored and touches no case;
 * a positive prediction opens a case, or refreshes the open one;
 * a negative prediction never touches a case;
 * a resolution closes the open case (*effective*) or is a conflict;
@@ -45,12 +47,18 @@ def _id(prefix: str, *cols: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def eligible_prediction() -> Column:
+    """A prediction that may be stored: it has a probability and its days of supply lie in a priority band."""
+    return ((F.col("kind") == "predict") & F.col("renewal_probability").isNotNull()
+            & priority_band(F.col("days_until_supply_end")).isNotNull())
+
+
 def fold_events(events: DataFrame, threshold: float = LOCKED_THRESHOLD) -> DataFrame:
     """Annotate every event with state: effective / open-at-event / case sequence number."""
     # blocks are hours: monotone in (ts, event_id), and a busy prescription's
     # events spread over many of them
     ev = events.withColumn("_blk", F.date_trunc("hour", F.col("ts")))
-    positive = (F.col("kind") == "predict") & (F.col("renewal_probability") >= F.lit(threshold))
+    positive = eligible_prediction() & (F.col("renewal_probability") >= F.lit(threshold))
     ev = ev.withColumn("positive", F.coalesce(positive, F.lit(False)))
     relevant_kind = F.when(F.col("positive"), "predict").when(F.col("kind") == "resolve", "resolve")
     ev = ev.withColumn("_rel", relevant_kind)
@@ -66,7 +74,7 @@ def fold_events(events: DataFrame, threshold: float = LOCKED_THRESHOLD) -> DataF
 
 def build_workflow(events: DataFrame, threshold: float = LOCKED_THRESHOLD) -> Workflow:
     folded = fold_events(events, threshold)
-    preds = folded.filter(F.col("kind") == "predict")
+    preds = folded.filter(eligible_prediction())
     predictions = preds.select(                                        # N1
         _id("prediction", "event_id").alias("prediction_id"),
         "rx_number", F.col("ts").alias("predicted_at"),

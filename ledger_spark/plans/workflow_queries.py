@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledger_spark.functions.rules import PRIORITY_BANDS, priority_band_sql, priority_rank_sql
+from ledger_spark.operators import actions as ac
 from ledger_spark.operators import cases as cs
 from ledger_spark.operators import scoring as sc
 from ledger_spark.operators.propensity import propensity_sql, renewal_propensity
@@ -283,3 +284,65 @@ def n_stream_cases(spark, sf_dir):
     """The case fold as a Structured Streaming job (available-now), latest state per case."""
     from ledger_spark.streaming.case_stream import run_case_stream
     return run_case_stream(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- typed actions
+def _list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+_TYPED_SQL = _EVENTS_SQL.replace("WITH ev AS (", f"""WITH raw AS (
+  SELECT *, CASE event_type WHEN 'signup' THEN {_list((*ac.ACTIVITY_TYPES, 'pigeon_sent'))}[CAST(event_id % 8 + 1 AS INTEGER)]
+                            WHEN 'purchase' THEN {_list((*ac.RESOLUTION_TYPES, 'lost'))}[CAST(event_id % 9 + 1 AS INTEGER)] END AS action_type,
+         CASE WHEN event_type NOT IN ('purchase', 'signup') OR event_id % 5 = 0 THEN NULL
+              WHEN event_id % 5 = 1 THEN '  ' ELSE 'note ' || CAST(event_id AS VARCHAR) END AS note
+  FROM events)
+, ev AS (""").replace(
+    "CASE WHEN event_type = 'purchase' THEN 'resolve'",
+    f"""action_type, note, CASE WHEN event_type = 'purchase' AND action_type IN ({', '.join(repr(t) for t in ac.RESOLUTION_TYPES)})
+                   AND (action_type <> 'other' OR length(trim(coalesce(note, ''))) > 0) THEN 'resolve'
+              WHEN event_type = 'purchase' THEN 'refused'""").replace(
+    "WHEN event_type = 'signup' THEN 'activity'", """WHEN event_type = 'signup' THEN 'activity'
+              WHEN event_id % 11 = 0 OR event_id % 29 = 0 OR value IS NULL THEN 'ineligible'""").replace("  FROM events)\n, ev1", "  FROM raw)\n, ev1")
+
+_ACTIONS_SQL = _TYPED_SQL + f"""
+, actions AS (
+  SELECT event_id, rx_number, CASE kind WHEN 'activity' THEN kind ELSE 'resolve' END AS kind, action_type, note,
+         'staff-' || CAST(event_id % 7 AS VARCHAR) AS performed_by, ts AS performed_at, case_seq,
+         CASE WHEN action_type IN ('pigeon_sent', 'lost') THEN 'invalid_type' WHEN NOT case_open_before THEN 'conflict'
+              WHEN kind = 'refused' THEN 'note_required' WHEN kind = 'resolve' THEN 'resolved' ELSE 'accepted' END AS outcome
+  FROM folded WHERE kind IN ('activity', 'resolve', 'refused'))
+"""
+
+
+def typed(spark, sf_dir) -> ac.TypedWorkflow:
+    return ac.typed_workflow(derive.typed_workflow_events(spark, sf_dir))
+
+
+@register("n_case_actions", _ACTIONS_SQL + """
+SELECT * EXCLUDE (case_seq), CASE WHEN outcome IN ('accepted', 'resolved')
+       THEN sha256('case|' || rx_number || '|' || CAST(case_seq AS VARCHAR)) END AS case_id FROM actions""", timestamps=("performed_at",))
+def n_case_actions(spark, sf_dir):
+    """Every activity and resolution with its case or the reason why it is refused."""
+    return typed(spark, sf_dir).actions
+
+
+@register("n_action_issues", _ACTIONS_SQL + "SELECT kind, outcome, count(*) AS actions FROM actions GROUP BY kind, outcome")
+def n_action_issues(spark, sf_dir):
+    """Actions by kind and outcome: unknown types, conflicts, missing notes."""
+    return ac.action_issues(typed(spark, sf_dir).actions)
+
+
+@register("n_typed_cases", _TYPED_SQL + "SELECT * FROM cases", ["latest_renewal_probability"],
+          timestamps=("opened_at", "last_evaluated_at", "resolved_at"))
+def n_typed_cases(spark, sf_dir):
+    """Cases where refused resolutions leave a case open and refused predictions open none."""
+    return typed(spark, sf_dir).cases
+
+
+@register("n_prediction_issues", _TYPED_SQL + """
+SELECT event_id, rx_number, CASE WHEN event_id % 29 = 0 OR renewal_probability IS NULL THEN 'missing_output' ELSE 'not_eligible' END AS code
+FROM folded WHERE kind = 'ineligible'""")
+def n_prediction_issues(spark, sf_dir):
+    """Predictions that are not stored, with the reason."""
+    return typed(spark, sf_dir).refused

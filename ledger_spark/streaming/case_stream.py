@@ -84,7 +84,8 @@ def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         if last_ts is not None and (ev.ts, ev.event_id) <= (last_ts, last_event):
             continue   # already applied (replay)
         last_ts, last_event, applied = ev.ts, int(ev.event_id), applied + 1
-        if ev.kind == "predict" and ev.renewal_probability >= LOCKED_THRESHOLD:
+        if (ev.kind == "predict" and ev.renewal_probability >= LOCKED_THRESHOLD and pd.notna(ev.days_until_supply_end)
+                and _band(int(ev.days_until_supply_end))):
             pid = _sha(f"prediction|{int(ev.event_id)}")
             if not is_open:
                 is_open, opened_at, initial_id, n = True, ev.ts, pid, 0
