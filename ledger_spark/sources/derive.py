@@ -342,6 +342,60 @@ def export_header_styles() -> list[list[str]]:
     ]
 
 
+COPIED_EVERY = 109         # a line that stands twice in its file (by order key)
+
+
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, kind, key, copy, value): one CSV file per supplier as text, a header (kind 0) and its billing rows.
+
+    Headers follow ``export_header_styles``; every value is quoted, names of the fourth line of an order hold a
+    line break and quotes, and some lines stand twice.
+    """
+    from ledger_spark.operators.headers import BILLING_ALIASES, normalize_header
+    field_of = {normalize_header(a): f for f, aliases in BILLING_ALIASES.items() for a in (f, *aliases)}
+    styles = export_header_styles()
+
+    def line(cells: list[Column]) -> Column:
+        return F.concat_ws(",", *[F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in cells])
+
+    def styled(key: Column, texts: list[Column]) -> Column:
+        style, out = F.pmod(key, F.lit(len(styles))), None
+        for i, text in enumerate(texts):
+            out = F.when(style == i, text) if out is None else out.when(style == i, text)
+        return out
+
+    heads = table(spark, sf_dir, "supplier").select(
+        export_file(F.col("s_suppkey")).alias("source_file"), F.lit(0).alias("kind"), F.lit("").alias("key"), F.lit(0).alias("copy"),
+        styled(F.col("s_suppkey"), [line([F.lit(h) for h in hs]) for hs in styles]).alias("value"))
+    parts = F.split("row_id", "-")
+    rows = billing_export(spark, sf_dir).withColumn("patient_name", F.when(
+        parts[1] == "4", F.concat("patient_name", F.lit('\n"q"'))).otherwise(F.col("patient_name")))
+    twice = F.pmod(parts[0].cast("long"), F.lit(COPIED_EVERY)) == 3
+    bodies = [line([F.col(field_of[normalize_header(h)]) if normalize_header(h) in field_of else F.lit("S1") for h in hs]) for hs in styles]
+    body = rows.select(export_file(parts[3]).alias("source_file"), F.lit(1).alias("kind"), F.col("row_id").alias("key"),
+                       F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+                       styled(parts[3].cast("long"), bodies).alias("value"))
+    return heads.unionByName(body)
+
+
+def write_export_folder(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The supplier exports as a folder of CSV text, one file per supplier; returns ``path``."""
+    lines = export_lines(spark, sf_dir).repartition("source_file").sortWithinPartitions("source_file", "kind", "key", "copy")
+    lines.select("source_file", "value").write.partitionBy("source_file").text(path)
+    return path
+
+
+WRONG_SOURCE_EVERY, WRONG_FIELD_EVERY = 13, 17
+
+
+def folder_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviewers' overrides, and wrong ones by rules on the supplier key: an unknown header, an unknown field."""
+    sup = table(spark, sf_dir, "supplier").select(export_file(F.col("s_suppkey")).alias("source_file"), "s_suppkey")
+    wrong_source = sup.where(F.pmod("s_suppkey", F.lit(WRONG_SOURCE_EVERY)) == 5).select("source_file", F.lit("No Such Header").alias("source"), F.lit("ndc").alias("destination"))
+    wrong_field = sup.where(F.pmod("s_suppkey", F.lit(WRONG_FIELD_EVERY)) == 6).select("source_file", F.lit("ndc").alias("source"), F.lit("colour").alias("destination"))
+    return export_manual_overrides(spark, sf_dir).unionByName(wrong_source).unionByName(wrong_field)
+
+
 AMBIGUOUS_STYLE = 4
 MANUAL_OVERRIDE = ("Qty Dispensed", "quantity_billed")
 
