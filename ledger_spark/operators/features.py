@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ledger_spark.operators.scan import blocked_running
 
 HISTORY_KEY = ("patient_id", "medication_id")
+# Names and order of the observation columns.
 IDENTIFIER_COLUMNS = (
     "observation_id", "observation_date", "expected_supply_end_date",
     "patient_id", "medication_id", "ndc", "prescription_id",

@@ -54,12 +54,12 @@ OUTCOMES = ("TN", "FP", "FN", "TP")
 
 def confusion_contract(df: DataFrame, expected: dict[str, int], threshold: float = LOCKED_THRESHOLD,
                        label: str = "label", score: str = "score") -> dict[str, int]:
-    """The four outcome counts, 0 where there are none; raises if they differ from the recorded ones."""
-    row = confusion(df, [], threshold, label, score).first()
-    names = ("true_negatives", "false_positives", "false_negatives", "true_positives")
-    counts = {o: int(row[n] or 0) if row else 0 for o, n in zip(OUTCOMES, names)}
-    if counts != {o: expected.get(o, 0) for o in OUTCOMES}:
-        raise RuntimeError(f"Locked confusion matrix mismatch: {counts}")
+    """The four outcome counts, 0 where there are none; raises with every count that is not the recorded one."""
+    found = df.groupBy(outcome_label(threshold, label, score).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).collect()   # four rows at most
+    counts = dict.fromkeys(OUTCOMES, 0) | {r["outcome"]: r["n"] for r in found}
+    wrong = {o: (expected.get(o, 0), counts[o]) for o in OUTCOMES if counts[o] != expected.get(o, 0)}
+    if wrong:
+        raise ValueError(f"Outcome counts (recorded, found) that differ: {wrong}")
     return counts
 
 

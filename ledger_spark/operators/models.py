@@ -30,7 +30,7 @@ from ledger_spark.operators import metrics as me
 from ledger_spark.operators.quantiles import exact_median
 from ledger_spark.operators.scan import blocked_running
 from ledger_spark.operators.features import FEATURE_COLUMNS
-from ledger_spark.operators.prep import MISSING_STD_COLUMN, MISSING_STD_INDICATOR, MODEL_FEATURE_COLUMNS
+from ledger_spark.operators.prep import MISSING_STD_COLUMN, MISSING_STD_INDICATOR, MODEL_FEATURE_COLUMNS, require_assigned
 from ledger_spark.session import cut_lineage
 
 SEED = 20260814
@@ -173,6 +173,7 @@ def compare(specs: Sequence[ModelSpec], split_df: DataFrame, threads: int = 4,
 
     ``fitter(spec, train)`` defaults to ``fit``; callers may pass a cached one.
     """
+    require_assigned(split_df)
     train = split_df.filter(F.col("split") == "train")
     fit_on = split_df.filter(F.col("split").isin("train", "validation"))
     fitter = fitter or fit

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 
 from ledger_spark.operators import analytics as an
 from ledger_spark.operators import reconcile as rc
@@ -184,9 +185,17 @@ def e_pick_list(spark, sf_dir, start, end):
     return an.medication_pick_list(_reconcile(spark, sf_dir, start, end).inventory)
 
 
-@_register_e("e_conservation", _billing_year_sql("""
-, ins AS (SELECT ndc, drug_name, sum(CAST(quantity_billed AS DECIMAL(28,6))) AS t FROM bp GROUP BY 1, 2)
-SELECT count(*) AS medications, count(*) FILTER (WHERE false) AS mismatched_medications FROM ins"""))
+def _conservation_sql(payers: str) -> str:
+    return _billing_year_sql(f"""
+, per_payer AS (SELECT ndc, drug_name, coalesce(insurance_name, 'UNKNOWN') AS payer, coalesce(bin_number, 'UNKNOWN') AS bin,
+                       sum(CAST(quantity_billed AS DECIMAL(28,6))) AS t FROM bp GROUP BY 1, 2, 3, 4)
+, ins AS (SELECT ndc, drug_name, sum(t) AS t FROM per_payer WHERE {payers} GROUP BY 1, 2)
+, inv AS (SELECT ndc, drug_name, sum(CAST(quantity_billed AS DECIMAL(28,6))) AS t FROM bp GROUP BY 1, 2)
+SELECT count(*) AS medications, count(*) FILTER (WHERE coalesce(ins.t, 0) <> inv.t) AS mismatched_medications
+FROM inv LEFT JOIN ins ON ins.ndc IS NOT DISTINCT FROM inv.ndc AND ins.drug_name IS NOT DISTINCT FROM inv.drug_name""")
+
+
+@_register_e("e_conservation", _conservation_sql("true"))
 def e_conservation(spark, sf_dir, start, end):
     """Insurance totals equal inventory billed totals per medication."""
     rec = _reconcile(spark, sf_dir, start, end)
@@ -194,3 +203,13 @@ def e_conservation(spark, sf_dir, start, end):
                                        "quantity_billed", "patient_id", "billing_date"], start, end)
     ins = an.insurance_billing_summary(b, sort=False)
     return an.conservation_check(ins, rec.inventory)
+
+
+@_register_e("e_conservation_known_payers", _conservation_sql("payer <> 'UNKNOWN'"))
+def e_conservation_known_payers(spark, sf_dir, start, end):
+    """The same check against named payers only: medications with unnamed payers do not add up."""
+    rec = _reconcile(spark, sf_dir, start, end)
+    b = _billing_period(spark, sf_dir, ["ndc", "drug_name", "insurance_name", "bin_number",
+                                       "quantity_billed", "patient_id", "billing_date"], start, end)
+    named = an.insurance_billing_summary(b, sort=False).filter(F.col("insurance_name") != an.UNKNOWN)
+    return an.conservation_check(named, rec.inventory)

@@ -123,5 +123,5 @@ def test_confusion_contract(spark):
     df = spark.createDataFrame([(1.0, 0.9), (0.0, 0.1), (0.0, 0.2)], "label double, score double")
     assert me.confusion_contract(df, {"TN": 2, "TP": 1}) == {"TN": 2, "FP": 0, "FN": 0, "TP": 1}
     assert me.confusion_contract(df.limit(0), {}) == dict.fromkeys(me.OUTCOMES, 0)
-    with pytest.raises(RuntimeError, match="mismatch"):
+    with pytest.raises(ValueError, match="TN.*3, 2"):
         me.confusion_contract(df, {"TN": 3})
