@@ -264,17 +264,20 @@ def candidate_features(fills: DataFrame, prescriptions: DataFrame, lead_days: in
     if "ndc" not in rx.columns:
         rx = rx.join(prescription_ndc_from_fills(f), "prescription_id", "left")
 
-    rx_dates = rx.select("prescription_id", _day("prescription_date").alias("cur_rx_day"))
+    rx_dates = rx.groupBy("prescription_id").agg(F.min(_day("prescription_date")).alias("cur_rx_day"), F.count(F.lit(1)).alias("_rx_rows"))
     # look-up keys come from the fills themselves, not from the feature frame,
     # so the history windows are not evaluated a second time for them
-    asks = f.select("prescription_id", "patient_id", "ndc").join(rx_dates, "prescription_id", "inner")
+    asks = f.select("prescription_id", "patient_id", "ndc").join(rx_dates.drop("_rx_rows"), "prescription_id", "inner")
     nxt = next_prescription_day(asks, rx)
     feats = history_features(f)
-    # an unknown prescription raises, as in the reference
+    # an unknown or repeated prescription raises, as in the reference
     unknown = F.raise_error(F.concat(F.lit("Unknown prescription of fill "), F.coalesce("fill_id", F.lit("NULL")),
                                      F.lit("; fill_issues lists all such fills.")))
+    repeated = F.raise_error(F.concat(F.lit("More than one row of prescription "), F.col("prescription_id"),
+                                      F.lit("; integrity.reference_issues lists them.")))
     feats = feats.join(rx_dates.withColumn("_known", F.lit(True)), "prescription_id", "left").withColumn(
-        "cur_rx_day", F.when(F.col("_known").isNull(), unknown.cast("int")).otherwise(F.col("cur_rx_day"))).drop("_known")
+        "cur_rx_day", F.when(F.col("_known").isNull(), unknown.cast("int")).when(F.col("_rx_rows") > 1, repeated.cast("int"))
+        .otherwise(F.col("cur_rx_day"))).drop("_known", "_rx_rows")
     feats = feats.join(nxt, ["patient_id", "ndc", "cur_rx_day"], "left")
 
     end_day = F.col("fill_day") + F.col("days_supply")

@@ -52,14 +52,33 @@ def fills_per_patient(fills: DataFrame) -> DataFrame:
                     F.max("mean").alias("mean"), F.max("maximum").alias("maximum"))
 
 
+def reference_issues(fills: DataFrame, prescriptions: DataFrame) -> DataFrame:
+    """(prescription_id, code, rows) of every reference that does not hold.
+
+    Both tables' keys are tagged, put together and counted per side in one aggregation, so fills of an unknown
+    prescription, prescriptions without a fill and repeated prescriptions come out of one shuffle of keys.
+    """
+    keys = fills.select("prescription_id", F.lit(1).alias("fill"), F.lit(0).alias("rx")).unionByName(
+        prescriptions.select("prescription_id", F.lit(0).alias("fill"), F.lit(1).alias("rx")))
+    sides = keys.groupBy("prescription_id").agg(F.sum("fill").alias("fills"), F.sum("rx").alias("rxs"))
+    codes = F.array_compact(F.array(
+        F.when(F.col("rxs") == 0, F.struct(F.lit("unknown_prescription").alias("code"), F.col("fills").alias("rows"))),
+        F.when(F.col("rxs") > 1, F.struct(F.lit("repeated_prescription").alias("code"), (F.col("rxs") - 1).alias("rows"))),
+        F.when(F.col("fills") == 0, F.struct(F.lit("prescription_without_fill").alias("code"), F.col("rxs").alias("rows")))))
+    return sides.select("prescription_id", F.explode(codes).alias("i")).select("prescription_id", "i.code", "i.rows")
+
+
 def violations(fills: DataFrame, prescriptions: DataFrame) -> DataFrame:
     """Chronology and refill-accounting violations; duplicate prescription rows.
 
     A fill whose prescription is unknown never violates chronology (the
     comparison is false) but does violate refill accounting (null != value).
+    A repeated prescription counts as a duplicate and stands once, with its
+    earliest date, in the comparison: it does not multiply its fills.
     """
-    rx = prescriptions.select("prescription_id", "prescription_date", "refills_authorized")
-    dup = rx.groupBy("prescription_id").agg(F.count(F.lit(1)).alias("n"))
+    rx = prescriptions.groupBy("prescription_id").agg(
+        F.min("prescription_date").alias("prescription_date"), F.min("refills_authorized").alias("refills_authorized"),
+        F.count(F.lit(1)).alias("n"))
     joined = fills.join(rx, "prescription_id", "left")
     expected = F.col("refills_authorized") - F.col("refill_number")
     out = joined.agg(
@@ -67,7 +86,7 @@ def violations(fills: DataFrame, prescriptions: DataFrame) -> DataFrame:
         .alias("invalid_fill_before_prescription_count"),
         F.count_if(~F.col("refills_remaining").eqNullSafe(expected)).alias("invalid_refill_accounting_count"),
     )
-    dups = dup.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_prescription_ids"))
+    dups = rx.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_prescription_ids"))
     return out.unionByName(dups, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in ("invalid_fill_before_prescription_count",
                                       "invalid_refill_accounting_count",

@@ -107,6 +107,48 @@ def g_violations(spark, sf_dir):
     return ig.violations(f, derive.prescriptions(f))
 
 
+_PLANTED_RX_SQL = """
+, planted AS (
+  SELECT prescription_id, CASE WHEN pn % 13 = 5 THEN CAST(prescription_date + 40 AS DATE) ELSE prescription_date END AS prescription_date,
+         refills_authorized, unnest(CASE WHEN pn % 11 = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM (SELECT *, CAST(substr(patient_id, 4) AS BIGINT) AS pn FROM prescriptions) WHERE pn % 7 <> 1
+  UNION ALL SELECT prescription_id || '/none', prescription_date, refills_authorized, 0
+  FROM prescriptions WHERE CAST(substr(patient_id, 4) AS BIGINT) % 17 = 2)
+, one AS (SELECT prescription_id, min(prescription_date) AS d, min(refills_authorized) AS a, count(*) AS n FROM planted GROUP BY 1)"""
+
+
+def planted_prescriptions(f):
+    """Prescriptions with planted faults by patient number: missing, repeated, dated too late, and some without fills."""
+    rx, pn = derive.prescriptions(f), F.substring("patient_id", 4, 18).cast("long")
+    copies = F.explode(F.when(pn % 11 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    kept = rx.where(pn % 7 != 1).withColumn("prescription_date", F.when(pn % 13 == 5, F.date_add("prescription_date", 40))
+                                            .otherwise(F.col("prescription_date"))).select("*", copies.alias("_copy")).drop("_copy")
+    unused = rx.where(pn % 17 == 2).withColumn("prescription_id", F.concat("prescription_id", F.lit("/none")))
+    return kept.unionByName(unused)
+
+
+@register("g_planted_violations", with_(FILLS) + _PLANTED_RX_SQL + """
+SELECT (SELECT count(*) FROM fills f JOIN one USING (prescription_id) WHERE f.fill_date < one.d) AS invalid_fill_before_prescription_count,
+       (SELECT count(*) FROM fills f LEFT JOIN one USING (prescription_id)
+        WHERE f.refills_remaining IS DISTINCT FROM one.a - f.refill_number) AS invalid_refill_accounting_count,
+       (SELECT CAST(sum(n - 1) AS BIGINT) FROM one) AS duplicate_prescription_ids""")
+def g_planted_violations(spark, sf_dir):
+    """The same counts over prescriptions with planted faults: none of them is 0."""
+    f = fills(spark, sf_dir)
+    return ig.violations(f, planted_prescriptions(f))
+
+
+@register("g_reference_issues", with_(FILLS) + _PLANTED_RX_SQL + """
+SELECT prescription_id, 'unknown_prescription' AS code, count(*) AS rows FROM fills
+WHERE prescription_id NOT IN (SELECT prescription_id FROM one) GROUP BY 1
+UNION ALL SELECT prescription_id, 'repeated_prescription', n - 1 FROM one WHERE n > 1
+UNION ALL SELECT prescription_id, 'prescription_without_fill', n FROM one WHERE prescription_id NOT IN (SELECT prescription_id FROM fills)""")
+def g_reference_issues(spark, sf_dir):
+    """Unknown, repeated and unused prescriptions over planted faults, in one aggregation."""
+    f = fills(spark, sf_dir)
+    return ig.reference_issues(f, planted_prescriptions(f))
+
+
 @register("g_refill_timing", cands_sql("""
 SELECT count(*) FILTER (WHERE gap < -1) AS early,
        count(*) FILTER (WHERE gap BETWEEN -1 AND 1) AS approximately_on_time,
