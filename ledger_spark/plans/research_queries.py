@@ -57,7 +57,13 @@ def f_prepared_fills(spark, sf_dir):
                       "refill_number", "refills_remaining", "days_supply", "next_fill_date")
 
 
-@register("f_fill_issues")
+@register("f_fill_issues", with_(FILLS) + """
+SELECT fill_id, patient_id, medication_id, CAST(NULL AS VARCHAR) AS prescription_id, fill_date,
+       CASE WHEN patient_id IS NULL THEN 'missing_patient' ELSE 'missing_medication' END AS issue
+FROM fills_base WHERE patient_id IS NULL OR medication_id IS NULL
+UNION ALL
+SELECT fill_id, patient_id, medication_id, prescription_id, fill_date, 'unknown_prescription' FROM fills f
+WHERE NOT EXISTS (SELECT 1 FROM prescriptions p WHERE p.prescription_id = f.prescription_id)""", dates=("fill_date",))
 def f_fill_issues(spark, sf_dir):
     """Fills that are in no history or of an unknown prescription, with the reason."""
     f = fills(spark, sf_dir)
