@@ -3,10 +3,16 @@
 Documents come in batches, those with the largest ids first, so a line's keeper
 is known from its first batch on.  A batch's line keys are merge-anti-joined with
 the runs' settled keys (already in ``min_docs`` documents: nothing later can
-change their fate), and what is left becomes the batch's own run, sorted by key,
-in the shared folder.  When ``fanout`` runs stand on a level they are merged into
-one run of the next.  A line's key is the line without blanks at both ends, A-Z
-as a-z; the runs hold 96 bits of hash, the number of documents and the largest id.
+change their fate), and what is left becomes the batch's own run.  When ``fanout``
+runs stand on a level they are merged into one run of the next, so later batches
+meet compacted runs.  Keys, batches and runs are bucketed by key and sorted in the
+shared folder: neither the anti-joins nor the merges shuffle anything.  A line's key
+is the line without blanks at both ends, A-Z as a-z; the runs hold 96 bits of hash,
+the number of documents and the largest id.
+
+There are at least ``LEAST_BATCHES`` batches and one for every ``DOCS_PER_BATCH``
+documents.  Up to ``BROADCAST_KEYS`` settled keys go out to the tasks that rewrite the
+texts; more are joined to the documents by id.  Runs are deleted after their last use.
 
 Keys of at least ``min_chars`` code points that occur in at least ``min_docs``
 documents lose all their lines except in the largest id that holds them.
@@ -14,18 +20,26 @@ documents lose all their lines except in the largest id that holds them.
 Edge cases: a null or empty text is one empty line; a null id is one document
 below all others; rows that repeat an id are one document; lines repeated inside
 the keeper stay; an empty table gives an empty table; extra columns pass through
-(names that begin with ``_ld_`` are reserved).
+(names that begin with ``_ld_`` are reserved, and ``n_lines`` and ``n_dropped`` with
+``counts``); ids must be integers.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_spark.llm.common import BLANKS, ascii_lower, store
+from ledger_spark.llm.common import BLANKS, Scratch, ascii_lower, store
 
-BATCHES = 4
-FANOUT = 4
+LEAST_BATCHES = 6
+DOCS_PER_BATCH = 1 << 24
+DOCS_PER_BUCKET = 1 << 17
+LEAST_BUCKETS = 8
+FANOUT = 2
+BROADCAST_KEYS = 1 << 19
+KEY = ["h1", "h2"]
 LOWEST = -(1 << 63)
 
 
@@ -48,82 +62,132 @@ def _keyed(text: Column, min_chars: int) -> Column:
 
 
 class LevelledRuns:
-    """Sorted runs of (h1, h2, docs, keeper); levels of up to ``fanout`` runs, merged upwards."""
+    """Runs of (h1, h2, docs, keeper), bucketed and sorted by key; levels of up to ``fanout`` runs, merged upwards."""
 
-    def __init__(self, min_docs: int = 3, fanout: int = FANOUT):
-        self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
+    def __init__(self, scratch: Scratch, buckets: int, min_docs: int = 3, fanout: int = FANOUT):
+        self.scratch, self.buckets, self.min_docs, self.fanout = scratch, buckets, min_docs, max(fanout, 2)
+        self.levels: list[list[DataFrame]] = [[]]
+        self.compactions = 0
 
     def _runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def _written(self, run: DataFrame) -> DataFrame:
+        return self.scratch.bucketed(run.select(*KEY, "docs", "keeper"), self.buckets, KEY, KEY)
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         every = runs[0]
         for run in runs[1:]:
             every = every.unionByName(run)
-        return every.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+        return every.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
-    def add(self, keys: DataFrame) -> None:
-        """Add a batch of (doc, h1, h2), one row per document and key, with ids below those added before."""
-        batch = keys.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"))
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The rows of ``batch`` (bucketed like the runs) whose keys no run has settled."""
         for run in self._runs():
-            batch = batch.join(run.where(F.col("docs") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(store(batch.sortWithinPartitions("h1", "h2"), "line-run"))
+            batch = batch.join(run.where(F.col("docs") >= self.min_docs).select(*KEY).hint("merge"), KEY, "left_anti")
+        return batch
+
+    def add(self, batch: DataFrame, last: bool = False) -> None:
+        """Add a batch of (h1, h2, docs, keeper), one row a key, of documents with ids below those added before."""
+        self.levels[0].append(self._written(self.unsettled(batch)))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            merged = self._merged(self.levels[level]).sortWithinPartitions("h1", "h2")
-            self.levels[level] = []
+        while not last and len(self.levels[level]) >= self.fanout:
+            merged, self.levels[level] = self._written(self._merged(self.levels[level])), []
+            self.compactions += 1
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(store(merged, f"line-run-level{level + 1}"))
+            self.levels[level + 1].append(merged)
             level += 1
 
     def settled(self) -> DataFrame:
         """(h1, h2, keeper) of the keys in at least ``min_docs`` documents."""
-        runs = self._runs()
-        merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.where(F.col("docs") >= self.min_docs).select("h1", "h2", "keeper")
+        return self._merged(self._runs()).where(F.col("docs") >= self.min_docs).select(*KEY, "keeper")
+
+
+def _exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(doc, h1, h2), one row for each row's distinct key."""
+    keys = F.array_distinct(F.filter(_keyed(F.col(text_col), min_chars), lambda k: k.isNotNull()))
+    return docs.select(_doc(id_col).alias("doc"), F.explode(keys).alias("k")).select("doc", "k.h1", "k.h2")
 
 
-def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,
-                 min_docs: int = 3, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(_ld_doc, _ld_drop: hashes of the keys whose lines that document loses)."""
+def settled_keys(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,
+                 min_docs: int = 3, batches: int | None = None, fanout: int = FANOUT) -> LevelledRuns:
+    """The runs over all documents."""
     ids = docs.select(_doc(id_col).alias("doc"))
-    edges = ids.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    repeated = not ids.groupBy("doc").count().where("count > 1").isEmpty()
+    n = ids.count()
+    batches = batches or max(LEAST_BATCHES, -(-n // DOCS_PER_BATCH))
+    buckets = max(LEAST_BUCKETS, -(-n // DOCS_PER_BUCKET))
+    edges = (ids.approxQuantile("doc", [i / batches for i in range(1, batches)], min(0.01, 0.25 / batches))
+             if batches > 1 else [])
     batch = F.lit(0)
     for edge in edges:
         batch = batch + (F.col("doc") < F.lit(int(edge))).cast("int")
-    exploded = (docs.select(_doc(id_col).alias("doc"),
-                            F.explode(F.array_distinct(F.filter(_keyed(F.col(text_col), min_chars),
-                                                                lambda k: k.isNotNull()))).alias("k"))
-                .select("doc", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), batch.alias("batch")))
-    if repeated:
-        exploded = exploded.dropDuplicates(["doc", "h1", "h2"])
-    keys = store(exploded, "line-keys")
-    runs = LevelledRuns(min_docs, fanout)
+    keys = _exploded(docs, id_col, text_col, min_chars)
+    if not ids.groupBy("doc").count().where("count > 1").isEmpty():
+        keys = keys.dropDuplicates(["doc", *KEY])
+    counted = (keys.groupBy(batch.alias("batch"), *KEY).agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"))
+               .repartition(buckets, *KEY))
+    counted = scratch.bucketed(counted, buckets, KEY, ["batch", *KEY])
+    runs = LevelledRuns(scratch, buckets, min_docs, fanout)
     for i in range(len(edges) + 1):
-        runs.add(keys.where(F.col("batch") == i).drop("batch"))
-    lost = keys.join(runs.settled(), ["h1", "h2"]).where(F.col("doc") < F.col("keeper"))
-    return lost.groupBy(F.col("doc").alias("_ld_doc")).agg(F.collect_list(F.struct("h1", "h2")).alias("_ld_drop"))
+        runs.add(counted.where(F.col("batch") == i).drop("batch"), last=i == len(edges))
+    return runs
+
+
+def _flags(keys: pa.Table):
+    """A function of (id, h1 and h2 of each line) that tells which lines the document loses."""
+    h1, h2, keeper = (keys.column(c).to_numpy() for c in (*KEY, "keeper"))
+    order = np.lexsort((h2, h1))
+    h1, h2, keeper = h1[order], h2[order], keeper[order]
+    same = int(np.unique(h1, return_counts=True)[1].max())      # keys that share their first 64 bits
+
+    @F.arrow_udf("array<boolean>")
+    def lost(doc: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        offsets = first.offsets.to_numpy() - first.offsets[0].as_py()
+        a, b = first.flatten(), second.flatten()
+        known = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False))
+        x, y = a.drop_null().to_numpy(), b.drop_null().to_numpy()
+        below = np.repeat(doc.to_numpy(), np.diff(offsets))[known]
+        out = np.zeros(len(a), bool)
+        at = np.searchsorted(h1, x)
+        for step in range(same):
+            here = np.minimum(at + step, len(h1) - 1)
+            out[known] |= (h1[here] == x) & (h2[here] == y) & (below < keeper[here])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+    return lost
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,
-                min_docs: int = 3, batches: int = BATCHES, fanout: int = FANOUT,
-                counts: bool = False) -> DataFrame:
+                min_docs: int = 3, batches: int | None = None, fanout: int = FANOUT,
+                counts: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; ``counts`` adds n_lines and n_dropped."""
-    drop = dropped_keys(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
-    rows = docs.withColumn("_ld_doc", _doc(id_col)).join(drop, "_ld_doc", "left")
-    pairs = F.arrays_zip(_lines(F.col(text_col)).alias("line"), _keyed(F.col(text_col), min_chars).alias("key"))
-    kept = F.transform(F.filter(pairs, lambda p: p["key"].isNull() | ~F.array_contains("_ld_drop", p["key"])),
-                       lambda p: p["line"])
-    lines = _lines(F.col(text_col))
-    hit = F.col("_ld_drop").isNotNull()
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        runs = settled_keys(docs, scratch, id_col, text_col, min_chars, min_docs, batches, fanout)
+        settled = scratch.store(runs.settled(), "settled")
+        n = settled.count()
+        few = settled.toArrow() if n <= broadcast_keys else None
+        settled = None if few is not None else store(settled, "line-keys")
+    lines, key = _lines(F.col(text_col)), _keyed(F.col(text_col), min_chars)
+    if n == 0:
+        rows = docs.withColumn("_ld_lost", F.lit(None).cast("array<boolean>"))
+    elif few is not None:
+        h1, h2 = F.transform(key, lambda k: k["h1"]), F.transform(key, lambda k: k["h2"])
+        rows = docs.withColumn("_ld_lost", _flags(few)(_doc(id_col), h1, h2))
+    else:
+        drop = (_exploded(docs, id_col, text_col, min_chars).join(settled, KEY).where(F.col("doc") < F.col("keeper"))
+                .groupBy(F.col("doc").alias("_ld_doc")).agg(F.collect_set(F.struct(*KEY)).alias("_ld_drop")))
+        rows = docs.withColumn("_ld_doc", _doc(id_col)).join(drop, "_ld_doc", "left").withColumn(
+            "_ld_lost", F.when(F.col("_ld_drop").isNotNull(), F.transform(
+                key, lambda k: k.isNotNull() & F.coalesce(F.array_contains("_ld_drop", k), F.lit(False)))))
+    hit = F.coalesce(F.exists("_ld_lost", lambda x: x), F.lit(False))
+    kept = F.filter(lines, lambda _, i: ~F.get(F.col("_ld_lost"), i))
     rows = rows.withColumn("_ld_kept", F.when(hit, kept))
-    out = rows.withColumn("_ld_text", F.when(hit, F.array_join("_ld_kept", "\n")).otherwise(F.col(text_col)))
+    cut = F.col("_ld_kept").isNotNull()
+    out = rows.withColumn("_ld_text", F.when(cut, F.array_join("_ld_kept", "\n")).otherwise(F.col(text_col)))
     extra = []
     if counts:
-        n = F.size(lines).cast("long")
-        extra = [n.alias("n_lines"), F.when(hit, n - F.size("_ld_kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped")]
+        size = F.size(lines).cast("long")
+        extra = [size.alias("n_lines"), F.when(cut, size - F.size("_ld_kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped")]
     columns = [F.col("_ld_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns, *extra)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledger_spark.llm import chat, components, decontaminate, jaccard_join, line_dedup, mixing, substring_dedup, topk
+from ledger_spark.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, cls string"
 
@@ -102,8 +103,8 @@ def test_substrings(spark, chunk_bytes):
     assert substring_dedup.dedup_substrings(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2)])
-def test_lines(spark, batches, fanout):
+@pytest.mark.parametrize("batches,fanout,broadcast_keys", [(1, 4, 100), (5, 2, 100), (None, 2, 0)])
+def test_lines(spark, batches, fanout, broadcast_keys):
     texts = corpus(4)
     blanks = " \t\n\x0b\x0c\r"
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,12 +117,32 @@ def test_lines(spark, batches, fanout):
                 held[key(x)].add(i)
     want = {i: "\n".join(x for x in some if not (len(held[key(x)]) >= 3 and i < max(held[key(x)]))) for i, some in enumerate(lines)}
     docs = docs_of(spark, texts)
-    out = line_dedup.dedup_lines(docs, batches=batches, fanout=fanout, counts=True)
+    out = line_dedup.dedup_lines(docs, batches=batches, fanout=fanout, counts=True, broadcast_keys=broadcast_keys)
     assert out.columns == docs.columns + ["n_lines", "n_dropped"]
     assert {r.doc_id: r.text or "" for r in out.collect()} == want
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_runs_are_compacted_before_the_last_batch_and_join_without_an_exchange(spark):
+    docs = docs_of(spark, corpus(4, 120))
+    with Scratch(spark, "test") as scratch:
+        runs = line_dedup.settled_keys(docs, scratch)
+        assert runs.compactions >= 2 and len(runs.levels) >= 2
+        few = scratch.bucketed(runs._runs()[0].repartition(runs.buckets, "h1", "h2"), runs.buckets, ["h1", "h2"], ["h1", "h2"])
+        for plan in (runs.unsettled(few), runs._merged(runs._runs())):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in text
+        assert "SortMergeJoin" in runs.unsettled(few)._jdf.queryExecution().executedPlan().toString()
+        # the first batch holds the largest ids: its keys are settled there, and no later run holds them again
+        first = max(runs._runs(), key=lambda run: run.agg(F.max("keeper")).first()[0])
+        settled = first.where("docs >= 3").select("h1", "h2")
+        assert all(not other.join(settled, ["h1", "h2"]).count() for other in runs._runs() if other is not first)
+        folder, name = scratch.folder, scratch.tables[0]
+    assert not spark.catalog.tableExists(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def test_lines_of_one_document_in_two_rows_count_once(spark):
     rows = docs_of(spark, ["a line of twenty characters"] * 3, ids=[1, 1, 2])
     assert all(r.text for r in line_dedup.dedup_lines(rows).collect())
