@@ -3,11 +3,13 @@
 Sources, in code-point order (null last), take weights from a repeating list and
 share ``share`` times all words; a target stops at ``max_repeat`` times its
 source's size and the excess is shared anew by weight.  Within a source a
-document's expected copies are its inclusion odds' base: whole copies are certain,
-and for the fraction f documents are ranked by random odds over inclusion odds,
-u / (1 - u) : f / (1 - f), with u from a hash of seed and id, so reruns agree.
-The ranking is cut where the words reach the target; one closing document then
-takes up what the cut leaves.
+document's expected copies are in proportion to its weight, at most ``max_repeat``,
+with what the cap leaves shared among the others so that the expected words still
+add up to the target.  The weight is the number of binary digits of the document's
+size, or a column's.  Whole copies are certain, and for the fraction f documents are
+ranked by random odds over inclusion odds, u / (1 - u) : f / (1 - f), with u from a
+hash of seed and id, so reruns agree.  The ranking is cut where the words reach the
+target; one closing document then takes up what the cut leaves.
 
 No source is sorted or summed in one task: sums go by rank bucket, and only the
 bucket where the cut falls is ordered row by row.  The number of buckets follows
@@ -16,9 +18,10 @@ the number of rows.  One row per source is windowed in a single task.
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a
 source of its own; a null id hashes as the empty text; repeated ids tie and the
 row decides; sources without words have target 0; an empty table gives an empty
-table; weights (column ``weight_col``, null or negative: 0) change the expected
-copies within a source and default to equal.  Columns beginning with ``_mx_`` are
-reserved; others pass through ``mix_documents``.
+table; weights of a column ``weight_col`` (null, NaN or negative: 0, never taken; above
+2^64: 2^64) are rounded down to an eighth of a power of two, so a source has at most
+some thousand different ones.  Columns beginning with ``_mx_`` and the names
+``mix_copies`` and ``mix_copy`` are reserved; others pass through ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -65,23 +68,54 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
         "_mx_source", "_mx_source_size", "_mx_target")
 
 
+def size_weight(size: Column) -> Column:
+    """The number of binary digits of a size (0: one digit)."""
+    return F.char_length(F.bin(size)).cast("double")
+
+
+def stepped(weight: Column) -> Column:
+    """A weight rounded down to an eighth of a power of two; 0 where it is null, NaN or not above 0."""
+    inside = F.least(F.greatest(weight, F.lit(2.0 ** -64)), F.lit(2.0 ** 64))
+    return F.when(weight.isNull() | F.isnan(weight) | (weight <= 0), 0.0).otherwise(
+        F.pow(F.lit(2.0), F.floor(F.log2(inside) * 8) / 8))
+
+
+def expected_copies(rows: DataFrame, targets: DataFrame, max_repeat: float = 2.0) -> DataFrame:
+    """(_mx_source, _mx_weight, _mx_source_size, _mx_target, _mx_expected), one row for each weight in a source.
+
+    Copies are weight times a factor, at most ``max_repeat``.  The heaviest reach the cap first: were all heavier
+    weights capped and the others not, the factor would be what is left of the target per weighted word left; the
+    highest of these factors is the one that meets the target.
+    """
+    per = rows.groupBy("_mx_source", "_mx_weight").agg(F.sum("_mx_size").alias("words"))
+    per = per.join(targets.withColumnRenamed("_mx_source", "s"), F.col("_mx_source").eqNullSafe(F.col("s"))).drop("s")
+    order = Window.partitionBy("_mx_source").orderBy(F.desc("_mx_weight"))
+    capped = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(max_repeat))
+    left = F.sum(F.col("_mx_weight") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    per = per.withColumn("factor", F.when(left > 0, (F.col("_mx_target") - capped) / left))
+    factor = F.coalesce(F.max("factor").over(Window.partitionBy("_mx_source")), F.lit(0.0))
+    return per.withColumn("_mx_expected", F.greatest(F.lit(0.0), F.least(F.lit(float(max_repeat)), factor * F.col("_mx_weight")))).select(
+        "_mx_source", "_mx_weight", "_mx_source_size", "_mx_target", "_mx_expected")
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0,
              weight_col: str | None = None, seed: str = "mix", row: Column | None = None) -> DataFrame:
-    """For each row (numbered by ``row``, or as read): _mx_row, _mx_id, _mx_size, _mx_source_size, _mx_target, _mx_copies."""
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    """For each row (numbered by ``row``, or as read): _mx_row, _mx_id, _mx_size, _mx_source_size, _mx_target,
+    _mx_expected (copies), _mx_copies."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     rows = store(docs.select(
         (F.monotonically_increasing_id() if row is None else row).alias("_mx_row"), F.col(id_col).alias("_mx_id"),
-        F.col(source_col).alias("_mx_source"), weight.alias("_mx_weight"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_mx_size"),
-        uniform(F.col(id_col), seed).alias("u")), "mix-rows")
+        F.col(source_col).alias("_mx_source"), size.alias("_mx_size"),
+        (F.lit(None).cast("double") if weight_col is None else F.col(weight_col).cast("double")).alias("given"),
+        uniform(F.col(id_col), seed).alias("u")).withColumn(
+            "_mx_weight", size_weight(F.col("_mx_size")) if weight_col is None else stepped(F.col("given"))).drop("given"), "mix-rows")
     targets = source_targets(rows, weights, share, max_repeat)
-    weighed = rows.groupBy("_mx_source").agg(F.sum(F.col("_mx_weight") * F.col("_mx_size")).alias("mass"))
-    per = targets.join(weighed.withColumnRenamed("_mx_source", "s"), F.col("_mx_source").eqNullSafe(F.col("s"))).drop("s")
-    expected = F.least(F.lit(float(max_repeat)), F.when(F.col("mass") > 0, F.col("_mx_weight") * F.col("_mx_target") / F.col("mass")).otherwise(0.0))
-    per = store(per, "mix-sources")
+    per = store(expected_copies(rows, targets, max_repeat), "mix-sources")
     few = F.broadcast if per.count() <= BROADCAST_SOURCES else (lambda df: df)
-    drawn = (rows.join(few(per.withColumnRenamed("_mx_source", "s")), F.col("_mx_source").eqNullSafe(F.col("s"))).drop("s")
+    expected = F.col("_mx_expected")
+    drawn = (rows.join(few(per.withColumnRenamed("_mx_source", "s").withColumnRenamed("_mx_weight", "w")),
+                       F.col("_mx_source").eqNullSafe(F.col("s")) & (F.col("_mx_weight") == F.col("w"))).drop("s", "w")
              .withColumn("copies", F.floor(expected)).withColumn("f", expected - F.floor(expected)))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
     buckets = LEAST_BUCKETS
@@ -90,7 +124,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         buckets *= 2
     ranked = store(drawn.withColumn("odds", F.when((F.col("f") > 0) & (F.col("_mx_size") > 0), odds))
                    .withColumn("bucket", F.floor(F.col("odds") / (1 + F.col("odds")) * buckets))
-                   .select("_mx_row", "_mx_id", "_mx_source", "_mx_size", "_mx_source_size", "_mx_target",
+                   .select("_mx_row", "_mx_id", "_mx_source", "_mx_size", "_mx_source_size", "_mx_target", "_mx_expected",
                            "copies", "odds", "bucket"), "mix-ranked")
     budget = ranked.groupBy("_mx_source").agg(
         (F.floor(F.max("_mx_target") + 0.5) - F.sum(F.col("copies") * F.col("_mx_size"))).alias("budget"))
@@ -120,7 +154,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             .withColumn("more", F.when(F.col("odds").isNull(), 0)
                         .when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1)
                         .otherwise(F.coalesce("picked", F.lit(0))))
-            .select("_mx_row", "_mx_id", "_mx_size", "_mx_source_size", "_mx_target",
+            .select("_mx_row", "_mx_id", "_mx_size", "_mx_source_size", "_mx_target", "_mx_expected",
                     (F.col("copies") + F.col("more")).cast("int").alias("_mx_copies")))
 
 

@@ -79,9 +79,16 @@ l AS (SELECT *, ((sum(source_size) OVER ()) * 1.5::DOUBLE
                  - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, least(cap, max(level) OVER () * w) AS target FROM l),
-e AS (SELECT d.*, t.source_size, t.target,
-             least(2::DOUBLE, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS x
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+v AS (SELECT source, CAST(length(bin(size)) AS DOUBLE) AS weight, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+q AS (SELECT v.source, v.weight, t.source_size, t.target,
+             CASE WHEN sum(weight * words) OVER (h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 0
+                  THEN (target - coalesce(sum(words) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2::DOUBLE)
+                       / sum(weight * words) OVER (h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS factor
+      FROM v JOIN t ON v.source IS NOT DISTINCT FROM t.source
+      WINDOW h AS (PARTITION BY v.source ORDER BY weight DESC)),
+y AS (SELECT *, greatest(0, least(2::DOUBLE, coalesce(max(factor) OVER (PARTITION BY source), 0) * weight)) AS x FROM q),
+e AS (SELECT d.*, y.source_size, y.target, y.x
+      FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source AND CAST(length(bin(d.size)) AS DOUBLE) = y.weight),
 o AS (SELECT *, CAST(floor(x) AS BIGINT) AS copies,
              CASE WHEN x - floor(x) > 0 AND size > 0 THEN (u / (1 - u)) / ((x - floor(x)) / (1 - (x - floor(x)))) END AS odds FROM e),
 b AS (SELECT source, CAST(floor(max(target) + 0.5::DOUBLE) AS BIGINT) - CAST(sum(copies * size) AS BIGINT) AS budget FROM o GROUP BY source),

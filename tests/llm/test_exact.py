@@ -218,6 +218,33 @@ def test_mixing(spark):
     assert mixing.plan_mix(docs_of(spark, [])).count() == 0
 
 
+def test_mix_takes_documents_as_often_as_their_odds_say(spark):
+    texts = [" ".join(["w"] * (3, 12, 48)[i // 3 % 3]) for i in range(2700)]
+    rows = mixing.plan_mix(docs_of(spark, texts).coalesce(2), share=0.9).collect()
+    classes = collections.defaultdict(list)
+    for r in rows:
+        classes[r._mx_id % 3, r._mx_size].append(r)
+    for source in range(3):
+        mine = [(size, classes[source, size]) for size in (3, 12, 48)]
+        expected = [some[0]._mx_expected for _, some in mine]
+        assert expected == sorted(expected) and abs(expected[0] * 3 - expected[2]) < 1e-9 or expected[2] == 2
+        target = mine[0][1][0]._mx_target
+        assert abs(sum(size * r._mx_expected for size, some in mine for r in some) - target) < 1e-6 * target
+        for x, (_, some) in zip(expected, mine):
+            assert abs(sum(r._mx_copies for r in some) / len(some) - x) < 0.1
+            assert {r._mx_copies for r in some} <= {int(x), int(x) + 1}
+
+
+def test_mix_weights_share_what_the_cap_leaves(spark):
+    rows = spark.createDataFrame([("a", 9.0, 100), ("a", 1.0, 300), ("a", 0.0, 50), ("b", 4.0, 10)],
+                                 "_mx_source string, _mx_weight double, _mx_size long")
+    targets = spark.createDataFrame([("a", 450, 350.0), ("b", 10, 20.0)], "_mx_source string, _mx_source_size long, _mx_target double")
+    got = {(r._mx_source, r._mx_weight): r._mx_expected for r in mixing.expected_copies(rows, targets).collect()}
+    assert got == {("a", 9.0): 2.0, ("a", 1.0): 0.5, ("a", 0.0): 0.0, ("b", 4.0): 2.0}
+    steps = spark.createDataFrame([(None,), (float("nan"),), (-1.0,), (0.0,), (8.0,), (8.5,), (1e300,)], "w double")
+    assert [r[0] for r in steps.select(mixing.stepped(F.col("w"))).collect()] == [0, 0, 0, 0, 8, 8, 2.0 ** 64]
+
+
 def test_mix_repeats_documents(spark):
     docs = docs_of(spark, ["a b c", "d e", "f"] * 20).coalesce(1)
     plan = {r._mx_id: r._mx_copies for r in mixing.plan_mix(docs).collect()}
