@@ -77,10 +77,14 @@ class LevelledRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Merge join, run by run.  (A union would claim its children's buckets but not line them up.)"""
         every = runs[0]
         for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+            other = run.select(*KEY, F.col("docs").alias("docs2"), F.col("keeper").alias("keeper2")).hint("merge")
+            every = every.join(other, KEY, "full").select(
+                *KEY, (F.coalesce("docs", F.lit(0)) + F.coalesce("docs2", F.lit(0))).alias("docs"),
+                F.greatest("keeper", "keeper2").alias("keeper"))
+        return every
 
     def unsettled(self, batch: DataFrame) -> DataFrame:
         """The rows of ``batch`` (bucketed like the runs) whose keys no run has settled."""
@@ -101,8 +105,12 @@ class LevelledRuns:
             level += 1
 
     def settled(self) -> DataFrame:
-        """(h1, h2, keeper) of the keys in at least ``min_docs`` documents."""
-        return self._merged(self._runs()).where(F.col("docs") >= self.min_docs).select(*KEY, "keeper")
+        """(h1, h2, keeper) of the keys in at least ``min_docs`` documents; the runs become one, the latest first."""
+        runs = self._runs()
+        while len(runs) > 1:
+            runs = [self._written(self._merged(runs[:2])), *runs[2:]]
+        self.levels = [runs]
+        return runs[0].where(F.col("docs") >= self.min_docs).select(*KEY, "keeper")
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:

@@ -129,7 +129,8 @@ def test_line_runs_are_compacted_before_the_last_batch_and_join_without_an_excha
         runs = line_dedup.settled_keys(docs, scratch)
         assert runs.compactions >= 2 and len(runs.levels) >= 2
         few = scratch.bucketed(runs._runs()[0].repartition(runs.buckets, "h1", "h2"), runs.buckets, ["h1", "h2"], ["h1", "h2"])
-        for plan in (runs.unsettled(few), runs._merged(runs._runs())):
+        assert len(runs._runs()) > 1
+        for plan in (runs.unsettled(few), runs._merged(runs._runs()[:2])):
             text = plan._jdf.queryExecution().executedPlan().toString()
             assert "Exchange" not in text
         assert "SortMergeJoin" in runs.unsettled(few)._jdf.queryExecution().executedPlan().toString()
@@ -137,6 +138,9 @@ def test_line_runs_are_compacted_before_the_last_batch_and_join_without_an_excha
         first = max(runs._runs(), key=lambda run: run.agg(F.max("keeper")).first()[0])
         settled = first.where("docs >= 3").select("h1", "h2")
         assert all(not other.join(settled, ["h1", "h2"]).count() for other in runs._runs() if other is not first)
+        every = line_dedup._exploded(docs, "doc_id", "text", 20).groupBy("h1", "h2").agg(
+            F.count("*").alias("docs"), F.max("doc").alias("keeper")).where("docs >= 3").select("h1", "h2", "keeper")
+        assert sorted(map(tuple, runs.settled().collect())) == sorted(map(tuple, every.collect())) != []
         folder, name = scratch.folder, scratch.tables[0]
     assert not spark.catalog.tableExists(name)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
