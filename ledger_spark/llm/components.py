@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_spark.llm.common import store
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None, store: Callable[[DataFrame, str], DataFrame] = store) -> DataFrame:
     """(node, root) for every node of the links (a, b): the smallest node it is known to be connected with.
 
     With ``rounds`` the work stops early: nodes of equal root are then connected, but
     not every connected pair has an equal root yet.  Each round is written to the
-    shared folder, so lineage stays short; no node's neighbours are gathered.
+    shared folder by ``store``, so lineage stays short; no node's neighbours are gathered.
     """
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                   .where("a != b").distinct(), "edges")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledger_spark.llm import words as W
-from ledger_spark.llm.common import store
+from ledger_spark.llm.common import Scratch, store
 from ledger_spark.llm.components import components
 
 FREQUENT = 1 << 18          # shingles in the broadcast order
@@ -82,7 +82,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, cls long")
 
 
-def _frequent(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, k: int, most: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` frequent shingles, sorted, and the documents counted for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(pending):
@@ -103,7 +103,7 @@ def _frequent(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarra
             yield flush(pending)
     seen = docs.mapInArrow(run, "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
     level = F.floor(F.log2("seen") * 8).cast("int")
-    seen = store(seen.withColumn("level", level), "shingle-counts")
+    seen = scratch.store(seen.withColumn("level", level), "shingle-counts")
     total, least = 0, 1 << 30
     for row in seen.groupBy("level").count().orderBy(F.desc("level")).collect():
         total += row["count"]
@@ -226,7 +226,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             .select(sets["cls"], "shingles").dropDuplicates(["cls"]))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, cells: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, cells: DataFrame, pairs: DataFrame, k: int, percent: int,
+            outer: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity.
 
     No cell of the hash space holds more shared shingles than the smaller of the two
@@ -234,14 +235,6 @@ def _verify(docs: DataFrame, classes: DataFrame, cells: DataFrame, pairs: DataFr
     """
     bound = F.aggregate(F.zip_with("s", "t", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
     size = lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + x)
-    pairs = store(pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("s")), "a")
-                  .join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("t")), "b")
-                  .where(_can_link(bound, size("s"), size("t"), percent)).select("a", "b"), "candidate-pairs")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = store(_fetch(docs, classes.select("cls", "rep").join(ends, "cls"), k), "candidate-sets")
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -250,39 +243,40 @@ def _verify(docs: DataFrame, classes: DataFrame, cells: DataFrame, pairs: DataFr
                 shared = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
                 good.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-    return store(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                    frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) for each row: texts link at a Jaccard similarity of ``percent`` / 100.
-
-    ``cls`` numbers the equal sets (null: empty); ``component_id`` is the smallest id
-    that links reach, the row's own id for an empty set.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = store(_signatures(docs, k), "signatures")
-    classes = store(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-    prefixes = _prefixes(docs, k, percent, *_frequent(docs, k, frequent))
+    with Scratch(docs.sparkSession, "verify") as scratch:
+        pairs = scratch.store(pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("s")), "a")
+                      .join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("t")), "b")
+                      .where(_can_link(bound, size("s"), size("t"), percent)).select("a", "b"), "candidate-pairs")
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        sets = scratch.store(_fetch(docs, classes.select("cls", "rep").join(ends, "cls"), k), "candidate-sets")
+        both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a")
+                .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b"))
+        return outer.store(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
+
+
+def _labels(docs: DataFrame, signed: DataFrame, k: int, percent: int, frequent: int, scratch: Scratch) -> DataFrame:
+    """(cls, component_id) of every class."""
+    classes = scratch.store(signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
+    prefixes = _prefixes(docs, k, percent, *_frequent(docs, k, frequent, scratch))
     own = (prefixes.join(classes.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")))
            .select("cls", "n", "asked", "prefix", "cells").dropDuplicates(["cls"]))
-    own = store(own, "prefixes")
+    own = scratch.store(own, "prefixes")
     postings = own.select("cls", "n", "asked", F.posexplode("prefix").alias("pos", "shingle"))
     member = F.struct("pos", "cls", "n", "asked")    # the least: the one with the fewest rare shingles before
     lists = postings.groupBy("shingle").agg(F.count("*").alias("size"), F.min(member).alias("x")).where("size > 1")
-    shared = store(postings.join(lists.drop("size"), "shingle").select("shingle", member.alias("y"), "x"), "postings")
+    shared = scratch.store(postings.join(lists.drop("size"), "shingle").select("shingle", member.alias("y"), "x"), "postings")
 
     near = shared.where("x.cls != y.cls").where(_possible("x", "y", percent))
-    links = _verify(docs, classes, own, _promising(near, percent, False), k, percent)
+    links = _verify(docs, classes, own, _promising(near, percent, False), k, percent, scratch)
 
-    groups = components(links, rounds=3)
+    groups = components(links, rounds=3, store=scratch.store)
     placed = (shared.select("shingle", F.col("y"), F.col("y.cls").alias("node")).join(groups, "node", "left")
               .select("shingle", "y", F.coalesce("root", "node").alias("grp")))
     sizes = placed.groupBy("shingle", "grp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("grp", F.struct("c", "grp")).alias("main"))
     # what two texts of different groups share before a shingle lies in open lists as well
     rank = F.row_number().over(Window.partitionBy("y.cls").orderBy("y.pos")) - 1
-    open_lists = store(placed.join(mixed.where("groups > 1").drop("groups"), "shingle")
+    open_lists = scratch.store(placed.join(mixed.where("groups > 1").drop("groups"), "shingle")
                        .withColumn("y", F.col("y").withField("before", rank)), "open-postings")
     left = open_lists.where("grp != main").select("shingle", F.col("y").alias("x"), F.col("grp").alias("g"))
     right = open_lists.select("shingle", "y", F.col("grp").alias("h"), "main")
@@ -292,13 +286,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     swap = F.col("x.cls") > F.col("y.cls")
     cross = cross.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
                          F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
-    more = _verify(docs, classes, own, _promising(cross, percent, True), k, percent)
+    more = _verify(docs, classes, own, _promising(cross, percent, True), k, percent, scratch)
 
-    roots = components(links.unionByName(more))
+    roots = components(links.unionByName(more), store=scratch.store)
     named = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
              .select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = named.join(names, "root").select("cls", "component_id")
+    return named.join(names, "root").select("cls", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                    frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_shingles, cls, component_id) for each row: texts link at a Jaccard similarity of ``percent`` / 100.
+
+    ``cls`` numbers the equal sets (null: empty); ``component_id`` is the smallest id
+    that links reach, the row's own id for an empty set.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = store(_signatures(docs, k), "signatures")
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        labels = store(_labels(docs, signed, k, percent, frequent, scratch), "components")
     return (signed.join(labels, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), "cls",
                     F.coalesce("component_id", "doc_id").alias("component_id")))
