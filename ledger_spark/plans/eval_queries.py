@@ -468,16 +468,23 @@ def j_outcomes(spark, sf_dir):
                                            "score", "label", "outcome")
 
 
+# The features whose distribution is compared between outcomes.
 ERROR_FEATURES = (
     "previous_on_time_fill_rate", "latest_refill_timing_gap_days",
     "average_previous_timing_gap_days", "previous_fill_count",
-    "std_previous_refill_interval_days", "average_previous_refill_interval_days",
-    "medication_prior_fill_count", "prescription_age_days",
+    "std_previous_refill_interval_days", "refill_interval_std_available",
+    "average_previous_refill_interval_days", "medication_prior_fill_count", "prescription_age_days",
 )
 
 
+def _error_value(feature: str) -> str:
+    """The feature as a number, in SQL that Spark and the oracle both read; the indicator is derived here."""
+    source = f"{prep.MISSING_STD_COLUMN} IS NOT NULL" if feature == prep.MISSING_STD_INDICATOR else feature
+    return f"CAST({source} AS DOUBLE)" if source == feature else f"CAST(CAST({source} AS INTEGER) AS DOUBLE)"
+
+
 @register("j_feature_stats_by_outcome", scored_sql(_OUTCOME_SQL + "\n, lf AS (" + " UNION ALL ".join(
-    f"SELECT outcome, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM outc" for c in ERROR_FEATURES) + """)
+    f"SELECT outcome, '{c}' AS feature, {_error_value(c)} AS value FROM outc" for c in ERROR_FEATURES) + """)
 SELECT outcome, feature, count(value) AS count, avg(value) AS mean,
        quantile_cont(value, 0.5) AS median, stddev_samp(value) AS std,
        quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75
@@ -485,7 +492,7 @@ FROM lf GROUP BY outcome, feature"""), ["mean", "median", "std", "q25", "q75"])
 def j_feature_stats_by_outcome(spark, sf_dir):
     """count, mean, median, sample std, quartiles of key features by outcome."""
     o = _outcomes(spark, sf_dir)
-    lf = o.select("outcome", *[F.col(c).cast("double").alias(c) for c in ERROR_FEATURES]) \
+    lf = o.select("outcome", *[F.expr(_error_value(c)).alias(c) for c in ERROR_FEATURES]) \
         .unpivot(["outcome"], list(ERROR_FEATURES), "feature", "value")
     stats = lf.groupBy("outcome", "feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
