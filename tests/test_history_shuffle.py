@@ -29,6 +29,8 @@ def test_blocked_histories_equal_whole_ones(spark, monkeypatch, seed):
 def test_usual_histories_are_shuffled_once(spark, monkeypatch):
     """No block of a usual history is made: the block table is empty, and the rows go by history alone."""
     f = _fills(spark, 3)
+    plan = fe.history_features(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan                                     # rows without blocks stay without offsets
     assert fe.long_histories(f.withColumn("_hb", fe._history_bucket())).count() == 0
     monkeypatch.setattr(fe, "LONG_HISTORY_ROWS", 1)
     assert fe.long_histories(f.withColumn("_hb", fe._history_bucket())).count() > 0
@@ -42,3 +44,14 @@ def test_stored_fills_hold_no_column_twice(spark, sf_dir):
     cols = [c for c in want.columns if c in got.columns]
     assert {"billing_id", "drug_name", "ndc"} <= set(cols)
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and got.count() == want.count()
+
+
+def test_blocked_ranks_equal_plain_ones(spark, sf_dir, monkeypatch):
+    from ledger_spark.sources import derive
+    whole = derive.fills(spark, sf_dir)
+    assert derive._long_patients(spark, sf_dir) == []
+    assert "_blk" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(derive, "LONG_HISTORY_ROWS", 1)
+    blocked = derive.fills(spark, sf_dir)
+    assert "_blk" in blocked._jdf.queryExecution().optimizedPlan().toString()
+    assert blocked.exceptAll(whole).count() == 0 and blocked.count() == whole.count() > 5000
