@@ -158,3 +158,19 @@ def test_settings_do_not_change_a_fit(spark, fitted):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_linear_fits_have_fewer_partitions_than_tree_fits(spark, monkeypatch):
+    data = observations(spark, 300)
+    monkeypatch.setattr(mo, "FIT_PARTITION_ROWS", 20)
+    monkeypatch.setattr(mo, "LINEAR_PARTITION_ROWS", 100)
+    assert mo._dealt(data, 300, MODEL_FEATURE_COLUMNS, True).rdd.getNumPartitions() == 3
+    assert mo._dealt(data, 300, MODEL_FEATURE_COLUMNS, False).rdd.getNumPartitions() == 15
+    folds = data.withColumn("position", F.row_number().over(Window.orderBy("observation_id")) - 1)
+    folds = folds.withColumn("validation_fold", F.floor(F.col("position") / 100).cast("int"))
+    linear = mo.prepared_folds(folds, True, MODEL_FEATURE_COLUMNS)
+    assert [f.fit.rdd.getNumPartitions() for f in linear] == [1, 2]
+    many = mo.fit(mo.TUNED_SPECS[0], data).stages[-1]
+    monkeypatch.setattr(mo, "LINEAR_PARTITION_ROWS", 10)
+    one = mo.fit(mo.TUNED_SPECS[0], data).stages[-1]
+    assert max(abs(a - b) for a, b in zip(many.coefficients, one.coefficients)) < 1e-6
