@@ -188,3 +188,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns and 0 < sizes[-1] <= sizes[-2]
     assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4]
     assert docs.where("mix_copy > mix_copies").isEmpty()
+
+
+def test_copy_of_the_texts_is_packed(spark, monkeypatch):
+    import corpus_pipeline
+    import pyarrow.parquet as pq
+    from pathlib import Path
+    stored, store = {}, corpus_pipeline.store
+    monkeypatch.setattr(corpus_pipeline, "store", lambda df, name, **more: stored.setdefault(name, store(df, name, **more)))
+    corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(1, "a b c d e f"), (2, "g")], "doc_id long, text string"), SF).collect()
+    files = [f.removeprefix("file:").replace("///", "/") for f in stored["pipeline-rows"].inputFiles()]
+    parts = [pq.ParquetFile(Path(f)).metadata for f in files]
+    found = {m.row_group(0).column(0).compression for m in parts if m.num_row_groups}
+    assert found == {"ZSTD"}
