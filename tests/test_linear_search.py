@@ -174,3 +174,42 @@ def test_linear_fits_have_fewer_partitions_than_tree_fits(spark, monkeypatch):
     monkeypatch.setattr(mo, "LINEAR_PARTITION_ROWS", 10)
     one = mo.fit(mo.TUNED_SPECS[0], data).stages[-1]
     assert max(abs(a - b) for a, b in zip(many.coefficients, one.coefficients)) < 1e-6
+
+
+def test_boosted_fits_keep_no_node_cache_and_grow_the_same_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["current_quantity_billed", "previous_fill_count", "prescription_age_days"],
+                           outputCol="features").transform(observations(spark, 120, 8)).select("features", "label").cache()
+    spec = mo.ModelSpec("XGBoost", "gbt_depthwise", {"n_estimators": 3, "max_depth": 2, "subsample": 0.7})
+    boosted = mo._classifier(spec, 120)
+    assert not boosted.getCacheNodeIds()
+    trees = [c.fit(rows).toDebugString.split("\n", 1)[1] for c in (boosted, boosted.copy({boosted.cacheNodeIds: True}))]
+    assert trees[0] == trees[1] and "Tree 2" in trees[0]
+    assert mo._classifier(mo.ModelSpec("Random Forest", "random_forest", {}), 120).getCacheNodeIds()
+
+
+def test_fits_run_side_by_side(spark):
+    """Every fit waits for the others to have begun: one after the other they would never end."""
+    import threading
+    data, gate = observations(spark, 8), threading.Barrier(4)
+
+    def fitter(spec, train):
+        gate.wait(timeout=60)
+        return spec.name
+    assert mo.fit_all(mo.TUNED_SPECS, data, fitter) == [s.name for s in mo.TUNED_SPECS]
+
+
+def test_all_folds_share_one_queue(spark, monkeypatch):
+    """The fits of two folds wait for each other, and each trial still gets the mean over its folds."""
+    import threading
+    rows = observations(spark, 120, 9).withColumn("position", F.row_number().over(Window.orderBy("observation_id")) - 1)
+    folds = rows.withColumn("validation_fold", F.when(F.col("position") >= 90, 2).when(F.col("position") >= 60, 1).otherwise(0))
+    monkeypatch.setitem(mo.SEARCH_GRIDS, "logistic_regression", {"C": [0.1], "penalty": ["l2"]})
+    gate, made = threading.Barrier(2), mo._classifier
+
+    def waiting(spec, n):
+        gate.wait(timeout=120)
+        return made(spec, n)
+    monkeypatch.setattr(mo, "_classifier", waiting)
+    [(params, ap)] = mo._search("logistic_regression", "Logistic Regression", folds, None, None, mo.MODEL_FEATURE_COLUMNS)
+    assert params == {"C": 0.1, "penalty": "l2"} and 0 < ap <= 1
