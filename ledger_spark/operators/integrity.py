@@ -75,22 +75,26 @@ def violations(fills: DataFrame, prescriptions: DataFrame) -> DataFrame:
     comparison is false) but does violate refill accounting (null != value).
     A repeated prescription counts as a duplicate and stands once, with its
     earliest date, in the comparison: it does not multiply its fills.
+
+    The prescriptions are derived once: each stands twice in the one join,
+    to meet its fills and, without them, to give its repeats.  Fills that find
+    none are those not met there, counted without a shuffle.
     """
     rx = prescriptions.groupBy("prescription_id").agg(
         F.min("prescription_date").alias("prescription_date"), F.min("refills_authorized").alias("refills_authorized"),
-        F.count(F.lit(1)).alias("n"))
-    joined = fills.join(rx, "prescription_id", "left")
+        F.count(F.lit(1)).alias("n")).withColumn("meets", F.explode(F.array(F.lit(True), F.lit(False))))
+    f = fills.select(F.col("prescription_id").alias("_filled"), "fill_date", "refill_number", "refills_remaining")
+    known, stated = F.col("_filled").isNotNull(), F.col("refills_remaining").isNotNull()
     expected = F.col("refills_authorized") - F.col("refill_number")
-    out = joined.agg(
-        F.count_if(F.col("fill_date") < F.col("prescription_date"))
-        .alias("invalid_fill_before_prescription_count"),
-        F.count_if(~F.col("refills_remaining").eqNullSafe(expected)).alias("invalid_refill_accounting_count"),
-    )
-    dups = rx.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_prescription_ids"))
-    return out.unionByName(dups, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ("invalid_fill_before_prescription_count",
-                                      "invalid_refill_accounting_count",
-                                      "duplicate_prescription_ids")])
+    met = rx.join(f, (F.col("prescription_id") == F.col("_filled")) & F.col("meets"), "left").agg(
+        F.count_if(F.col("fill_date") < F.col("prescription_date")).alias("early"),
+        (F.count_if(known & ~F.col("refills_remaining").eqNullSafe(expected)) - F.count_if(known & stated)).alias("unequal"),
+        F.coalesce(F.sum(F.when(~F.col("meets"), F.col("n") - 1)), F.lit(0)).alias("repeats"))
+    zero = F.lit(0).cast("long")
+    parts = met.unionByName(fills.agg(zero.alias("early"), F.count_if(stated).alias("unequal"), zero.alias("repeats")))
+    return parts.agg(F.sum("early").alias("invalid_fill_before_prescription_count"),
+                     F.sum("unequal").alias("invalid_refill_accounting_count"),
+                     F.sum("repeats").alias("duplicate_prescription_ids"))
 
 
 def refill_timing_counts(candidates: DataFrame) -> DataFrame:

@@ -38,3 +38,37 @@ def test_repeated_and_unknown_prescriptions_raise_in_features(spark):
         fe.candidate_features(*tables(spark, [*sound, sound[1]])).collect()
     with pytest.raises(Exception, match="Unknown prescription"):
         fe.candidate_features(*tables(spark, sound[:2])).collect()
+
+
+def _counted(spark, rows):
+    """``rows`` with a look at each row counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return rows.mapInArrow(look, rows.schema), seen
+
+
+def test_prescriptions_are_derived_once(spark):
+    fills, rx = tables(spark, [("r0", day(0)), ("r0", day(9)), ("r2", day(81)), (None, day(1)), (None, day(2)), ("spare", day(1)), ("spare", day(1))])
+    rx, seen = _counted(spark, rx)
+    odd = spark.createDataFrame([("z0", day(0), "u", None, "m", "n", 1.0, 20, 0, 1), ("z1", None, "u", "r0", "m", "n", 1.0, 20, None, None),
+                                 ("z2", day(0), "u", "r0", "m", "n", 1.0, 20, 0, None), ("z3", day(0), "u", "r9", "m", "n", 1.0, 20, 0, None)], FILLS)
+    # r1 is unknown (2 fills), z0 has none, z2 states none where 1 is expected; z1 states none and none is expected
+    assert tuple(ig.violations(fills.unionByName(odd), rx).first()) == (1, 4, 3)
+    assert seen.value == 7
+    assert tuple(ig.violations(fills, rx.limit(0)).first()) == (0, 6, 0)
+    assert tuple(ig.violations(fills.limit(0), rx).first()) == (0, 0, 3)
+
+
+def test_planted_faults_come_from_one_reading_of_the_fills(spark):
+    from ledger_spark.plans.eval_queries import planted_prescriptions
+    # patient 1: missing; 2: also one without fills; 3: twice; 5: late; 36 (2 mod 17, 1 mod 7): only the one without fills
+    fills = spark.createDataFrame([(f"q{n}", day(0), f"PT-{n}", f"PT-{n}/m/0", "m", "n", 1.0, 20, 0, 2) for n in (1, 2, 3, 5, 36)], FILLS)
+    fills, seen = _counted(spark, fills)
+    got = sorted((r.prescription_id, r.prescription_date) for r in planted_prescriptions(fills).collect())
+    assert got == [("PT-2/m/0", day(0)), ("PT-2/m/0/none", day(0)), ("PT-3/m/0", day(0)), ("PT-3/m/0", day(0)),
+                   ("PT-36/m/0/none", day(0)), ("PT-5/m/0", day(40))]
+    assert seen.value == 5
