@@ -201,3 +201,19 @@ def test_copy_of_the_texts_is_packed(spark, monkeypatch):
     parts = [pq.ParquetFile(Path(f)).metadata for f in files]
     found = {m.row_group(0).column(0).compression for m in parts if m.num_row_groups}
     assert found == {"ZSTD"}
+
+
+def test_scores_do_not_depend_on_the_windows_scored_at_once(monkeypatch):
+    """And the keys of the windows scored at once take a megabyte at most."""
+    assert lm.BLOCK * lm.SPAN * lm.WIDTH * 4 <= 1 << 20
+    rng = np.random.default_rng(5)
+    end, sizes = 50, rng.integers(1, 400, 60)
+    tokens = rng.integers(0, end, sizes.sum()).astype(np.int16)
+    ends = np.cumsum(sizes)
+    tokens[ends - 1] = end
+    p = lm.new_params(end)
+    whole = lm._score(p, tokens, ends, end)
+    assert len(whole) == 60 and (whole < 0).all()
+    for block in (7, 1 << 20):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        assert np.allclose(lm._score(p, tokens, ends, end), whole, rtol=1e-5)
